@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_id
+from ..session import cut_lineage
 from ..schemas import EXPLAIN_COLLAB_PREFIX, METHOD_COLLAB
 from .pairs import DEFAULT_BLOCK_ROWS, co_occurrence, mirror
 
@@ -150,10 +151,18 @@ class CollaborativeModel:
 
     @classmethod
     def fit(cls, interactions: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-            min_support: int = 1) -> "CollaborativeModel":
+            min_support: int = 1, materialize: bool = True) -> "CollaborativeModel":
+        """Build ``ratings`` and ``neighbours``. With ``materialize`` both are
+        written once to the reliable checkpoint directory (the model artefacts),
+        so later plans read them instead of re-deriving the scan + join."""
         ratings = rating_table(interactions)
+        if materialize:
+            ratings = cut_lineage(ratings)
         sim = item_similarity(ratings, block_rows, min_support)
-        return cls(ratings, sim, neighbour_table(sim, ratings))
+        nb = neighbour_table(sim, ratings)
+        if materialize:
+            nb = cut_lineage(nb)
+        return cls(ratings, sim, nb)
 
     def known_users(self) -> DataFrame:
         return self.ratings.select("user_id").distinct()

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 512
 
 
 def co_occurrence(df: DataFrame, group: str, item: str, weight: str,

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import collab, popular, quality
+from ..operators import collab, content, popular, quality
+from ..session import cut_lineage
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +167,20 @@ def q_recommend_for_user(spark, d):
     """Every customer plus the unknown ids of the request table: CF or popular."""
     users = T.requests(spark, d).select("user_id").where(F.col("user_id").isNotNull())
     return popular.recommend_for_user(users, cf_model(spark, d), T.catalog(spark, d), top_k=5)
+
+
+# ---------------------------------------------------------------- content (TF-IDF)
+
+@register("tfidf_terms")
+def q_tfidf_terms(spark, d):
+    postings, vocab = content.tfidf(T.catalog(spark, d), max_features=3000)
+    return postings.join(vocab, "term").select("product_id", "term", "tf", "df",
+                                               F.round("idf", 6).alias("idf"), F.round("w", 6).alias("w"))
+
+
+@register("content_topk")
+def q_content_topk(spark, d):
+    """Ten most similar products, with explanations, for every catalog product."""
+    cat = T.catalog(spark, d)
+    postings, _ = content.tfidf(cat, max_features=3000)
+    return content.recommend_similar(cut_lineage(postings), cat, k=10)
