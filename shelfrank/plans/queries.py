@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import collab, content, popular, quality
+from ..operators import collab, content, neighbors, popular, quality
 from ..session import cut_lineage
 from ..sources import tables as T
 
@@ -184,3 +184,27 @@ def q_content_topk(spark, d):
     cat = T.catalog(spark, d)
     postings, _ = content.tfidf(cat, max_features=3000)
     return content.recommend_similar(cut_lineage(postings), cat, k=10)
+
+
+# ---------------------------------------------------------------- dense vectors
+
+@register("vector_topk")
+def q_vector_topk(spark, d):
+    """Semantic search: top-10 products for every request carrying a query vector."""
+    return neighbors.semantic_search(T.requests(spark, d), T.vectors(spark, d), T.catalog(spark, d), k=10)
+
+
+@register("image_topk")
+def q_image_topk(spark, d):
+    """Visual neighbours (self excluded) of every product with an image vector."""
+    return neighbors.visual_neighbours(T.vectors(spark, d), T.catalog(spark, d), k=10)
+
+
+@register("category_bias")
+def q_category_bias(spark, d):
+    return neighbors.category_bias(T.vectors(spark, d))
+
+
+@register("visual_query_audit")
+def q_visual_query_audit(spark, d):
+    return neighbors.visual_query_audit(T.vectors(spark, d), T.catalog(spark, d), 10, 5, nested=False)
