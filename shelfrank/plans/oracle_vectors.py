@@ -49,7 +49,7 @@ SELECT coalesce({r4('avg(s) FILTER (WHERE same)')}, 0.0) AS intra_category_mean,
        coalesce({r4('avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same)')}, 0.0) AS category_bias_delta
 FROM pr""".replace("\n, pr", ", pr", 1)
 
-ORACLE["visual_query_audit"] = with_(CATALOG, VECTORS, VEC) + """
+ORACLE["visual_query_audit"] = with_(CATALOG, VECTORS, VEC) + """,
 smp AS (SELECT product_id FROM catalog ORDER BY ordinal LIMIT 10),
 """ + visual_top(5, "smp") + """
 SELECT t.product_id AS target_product_id, t.product_name AS target_product_name, t.category AS target_category,

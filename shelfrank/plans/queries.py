@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import collab, content, neighbors, popular, quality
+from ..operators import collab, content, hybrid, neighbors, popular, quality
+from ..operators import requests as requests_ops
 from ..session import cut_lineage
 from ..sources import tables as T
 
@@ -208,3 +209,38 @@ def q_category_bias(spark, d):
 @register("visual_query_audit")
 def q_visual_query_audit(spark, d):
     return neighbors.visual_query_audit(T.vectors(spark, d), T.catalog(spark, d), 10, 5, nested=False)
+
+
+# ---------------------------------------------------------------- requests & hybrid
+
+def hybrid_model(spark, d):
+    cat = T.catalog(spark, d)
+    postings, _ = content.tfidf(cat, max_features=3000)
+    vec = T.vectors(spark, d)
+    return hybrid.HybridModel(cat, cf_model(spark, d), cut_lineage(postings), vec, vec, n_candidates=30)
+
+
+@register("request_validation")
+def q_request_validation(spark, d):
+    r = requests_ops.normalize_requests(T.requests(spark, d))
+    return r.select("request_id", "user_id", "product_id", "product_given", "query", "top_k",
+                    *[f"w_{s}" for s in ("content", "collaborative", "nlp", "image")], "status", "code")
+
+
+@register("hybrid_candidates")
+def q_hybrid_candidates(spark, d):
+    return hybrid.hybrid_candidates(hybrid_model(spark, d), T.requests(spark, d))
+
+
+@register("hybrid_topk")
+def q_hybrid_topk(spark, d):
+    """Flagship: ranked, explained hybrid recommendations for every request."""
+    return hybrid.hybrid_recommend(hybrid_model(spark, d), T.requests(spark, d))
+
+
+@register("explanation_lookup")
+def q_explanation_lookup(spark, d):
+    """Breakdown of product ``P{request_id + 1}`` for every request (top-20 list)."""
+    req = T.requests(spark, d)
+    lookups = req.select("request_id", F.concat(F.lit("P"), (F.col("request_id") + 1).cast("string")).alias("product_id"))
+    return hybrid.explanation_lookup(hybrid_model(spark, d), req, lookups, top_k=20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERY_MODULES = ["queries"]
-_ORACLE_MODULES = ["oracle", "oracle_content", "oracle_vectors"]
+_ORACLE_MODULES = ["oracle", "oracle_content", "oracle_vectors", "oracle_hybrid"]
 
 
 def all_queries() -> dict:
