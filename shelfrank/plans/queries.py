@@ -14,14 +14,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import collab, content, hybrid, neighbors, popular, quality
+from ..operators import collab, content, evaluate, hybrid, neighbors, popular, quality
 from ..operators import requests as requests_ops
+from ..schemas import (ABLATION_CONFIGS, DEFAULT_EVAL_SEEDS, DEFAULT_WEIGHTS, IMAGE_TOGGLE_CONFIGS,
+                       NLP_TOGGLE_CONFIGS, SENSITIVITY_CONFIGS)
 from ..session import cut_lineage
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+# Fitted artefacts (checkpointed) shared by the queries of one application.
+_FITTED: dict = {}
+
+
+def fitted(spark: SparkSession, key: tuple, build):
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _FITTED:
+        _FITTED[k] = build()
+    return _FITTED[k]
+
+
+def clear_fitted() -> None:
+    _FITTED.clear()
+
 
 def register(name: str):
     def deco(fn):
@@ -124,7 +140,12 @@ def q_interaction_density(spark, d):
 # ---------------------------------------------------------------- collaborative
 
 def cf_model(spark, d):
-    return collab.CollaborativeModel.fit(T.interactions(spark, d))
+    return fitted(spark, ("cf", d), lambda: collab.CollaborativeModel.fit(T.interactions(spark, d)))
+
+
+def tfidf_postings(spark, d, max_features: int = 3000):
+    return fitted(spark, ("tfidf", d, max_features),
+                  lambda: cut_lineage(content.tfidf(T.catalog(spark, d), max_features=max_features)[0]))
 
 
 @register("ratings_mean")
@@ -182,9 +203,7 @@ def q_tfidf_terms(spark, d):
 @register("content_topk")
 def q_content_topk(spark, d):
     """Ten most similar products, with explanations, for every catalog product."""
-    cat = T.catalog(spark, d)
-    postings, _ = content.tfidf(cat, max_features=3000)
-    return content.recommend_similar(cut_lineage(postings), cat, k=10)
+    return content.recommend_similar(tfidf_postings(spark, d), T.catalog(spark, d), k=10)
 
 
 # ---------------------------------------------------------------- dense vectors
@@ -214,10 +233,9 @@ def q_visual_query_audit(spark, d):
 # ---------------------------------------------------------------- requests & hybrid
 
 def hybrid_model(spark, d):
-    cat = T.catalog(spark, d)
-    postings, _ = content.tfidf(cat, max_features=3000)
     vec = T.vectors(spark, d)
-    return hybrid.HybridModel(cat, cf_model(spark, d), cut_lineage(postings), vec, vec, n_candidates=30)
+    return hybrid.HybridModel(T.catalog(spark, d), cf_model(spark, d), tfidf_postings(spark, d), vec, vec,
+                              n_candidates=30)
 
 
 @register("request_validation")
@@ -244,3 +262,60 @@ def q_explanation_lookup(spark, d):
     req = T.requests(spark, d)
     lookups = req.select("request_id", F.concat(F.lit("P"), (F.col("request_id") + 1).cast("string")).alias("product_id"))
     return hybrid.explanation_lookup(hybrid_model(spark, d), req, lookups, top_k=20)
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _seed_eval(spark, d, configs: dict, group=None, top_k: int = 5):
+    scored, truth = fitted(spark, ("seeded_eval", d, tuple(DEFAULT_EVAL_SEEDS)), lambda: tuple(
+        cut_lineage(x) for x in evaluate.user_only_hybrid_scores(T.interactions(spark, d), T.catalog(spark, d),
+                                                                 DEFAULT_EVAL_SEEDS)))
+    cfg = evaluate.config_table(spark, configs, group)
+    return evaluate.multi_seed_metrics(scored, truth, cfg, top_k)
+
+
+@register("split_sizes")
+def q_split_sizes(spark, d):
+    sp = evaluate.holdout_split(T.interactions(spark, d), 0.2, [42])
+    return evaluate.split_sizes(sp).drop("seed")
+
+
+@register("test_split")
+def q_test_split(spark, d):
+    sp = evaluate.holdout_split(T.interactions(spark, d), 0.2, [42])
+    return sp.where("is_test").select("user_id", "product_id", "user_rating")
+
+
+@register("precision_recall_ndcg")
+def q_precision_recall_ndcg(spark, d):
+    return evaluate.evaluate_collaborative(T.interactions(spark, d), T.catalog(spark, d), [5, 10], seed=42)
+
+
+@register("seed_summary_stats")
+def q_seed_summary_stats(spark, d):
+    per_seed = _seed_eval(spark, d, {"Full Hybrid": DEFAULT_WEIGHTS})
+    long = per_seed.unpivot(["configuration", "seed"], ["precision_at_k", "recall_at_k", "ndcg_at_k"],
+                            "metric", "value")
+    return evaluate.summary_stats(long, ["configuration", "metric"], "value")
+
+
+@register("multi_seed_report")
+def q_multi_seed_report(spark, d):
+    return evaluate.multi_seed_report(_seed_eval(spark, d, SENSITIVITY_CONFIGS), 5)
+
+
+@register("ablation")
+def q_ablation(spark, d):
+    return evaluate.multi_seed_report(_seed_eval(spark, d, ABLATION_CONFIGS), 5)
+
+
+@register("signal_toggles")
+def q_signal_toggles(spark, d):
+    a = _seed_eval(spark, d, IMAGE_TOGGLE_CONFIGS, "image_comparison")
+    b = _seed_eval(spark, d, NLP_TOGGLE_CONFIGS, "nlp_comparison")
+    return evaluate.multi_seed_report(a.unionByName(b), 5)
+
+
+@register("metrics_unpivot")
+def q_metrics_unpivot(spark, d):
+    return evaluate.melt_report(evaluate.multi_seed_report(_seed_eval(spark, d, SENSITIVITY_CONFIGS), 5))

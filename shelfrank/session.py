@@ -36,7 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("SHELFRANK_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("SHELFRANK_DRIVER_MEMORY", "10g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
