@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import collab, content, evaluate, hybrid, neighbors, popular, quality
+from ..operators import browse, collab, content, evaluate, hybrid, neighbors, popular, quality
 from ..operators import requests as requests_ops
 from ..schemas import (ABLATION_CONFIGS, DEFAULT_EVAL_SEEDS, DEFAULT_WEIGHTS, IMAGE_TOGGLE_CONFIGS,
                        NLP_TOGGLE_CONFIGS, SENSITIVITY_CONFIGS)
@@ -319,3 +319,53 @@ def q_signal_toggles(spark, d):
 @register("metrics_unpivot")
 def q_metrics_unpivot(spark, d):
     return evaluate.melt_report(evaluate.multi_seed_report(_seed_eval(spark, d, SENSITIVITY_CONFIGS), 5))
+
+
+# ---------------------------------------------------------------- browse & lookup
+
+@register("browse_category")
+def q_browse_category(spark, d):
+    """First page (12 rows) of every category, with per-category pagination."""
+    return browse.pages_by_category(T.catalog(spark, d), page=1, limit=12)
+
+
+@register("browse_keyword")
+def q_browse_keyword(spark, d):
+    """Keyword search 'bolt' over name/description, page 2 of 12."""
+    return browse.get_products(T.catalog(spark, d), search="bolt", page=2, limit=12)
+
+
+@register("browse_page")
+def q_browse_page(spark, d):
+    """Category 'Small' (case-insensitive), page 3 of 25."""
+    return browse.get_products(T.catalog(spark, d), category="Small", page=3, limit=25)
+
+
+@register("product_lookup")
+def q_product_lookup(spark, d):
+    """Every part id bought (typed lower-case with spaces) plus unknown
+    supplier-derived ids, looked up by normalised id."""
+    li = T.read_table(spark, d, "lineitem").select(
+        F.concat(F.lit(" p"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("query_id"))
+    sup = T.read_table(spark, d, "supplier").select(
+        F.concat(F.lit("p"), (F.col("s_suppkey") + 1000000).cast("string")).alias("query_id"))
+    return browse.lookup_products(T.catalog(spark, d), li.unionByName(sup).distinct())
+
+
+@register("health_summary")
+def q_health_summary(spark, d):
+    """Row counts of the catalog and of every fitted artefact."""
+    m = cf_model(spark, d)
+    post = tfidf_postings(spark, d)
+    parts = [
+        T.catalog(spark, d).agg(F.count(F.lit(1)).alias("catalog_products")),
+        T.interactions(spark, d).agg(F.count(F.lit(1)).alias("interactions")),
+        m.ratings.agg(F.count(F.lit(1)).alias("rated_pairs"), F.count_distinct("user_id").alias("known_users")),
+        m.similarity.agg(F.count(F.lit(1)).alias("similar_item_pairs")),
+        post.agg(F.count(F.lit(1)).alias("tfidf_postings"), F.count_distinct("term").alias("vocabulary_terms")),
+        T.vectors(spark, d).agg(F.count(F.lit(1)).alias("vector_products")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = cat_ops.attach_row(out, p)
+    return out
