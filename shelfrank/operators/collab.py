@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_id
 from ..session import cut_lineage
 from ..schemas import EXPLAIN_COLLAB_PREFIX, METHOD_COLLAB
+from .cf_blocks import encode_neighbours, item_dictionary, tiled_scores
 from .pairs import DEFAULT_BLOCK_ROWS, co_occurrence, mirror
 
 
@@ -130,11 +131,18 @@ def unrated_predictions(ratings: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def recommend_collaborative(ratings: DataFrame, neighbours: DataFrame, catalog: DataFrame,
-                            top_k: int = 10, users: DataFrame | None = None) -> DataFrame:
-    """Top-k unrated items per known user (all users, or those in ``users``)."""
+                            top_k: int = 10, users: DataFrame | None = None, method: str = "tiled") -> DataFrame:
+    """Top-k unrated items per known user (all users, or those in ``users``).
+
+    ``method="tiled"`` uses the blocked NumPy product (``cf_blocks``);
+    ``"relational"`` the join + aggregate plan; both give the same rows."""
     r = ratings if users is None else ratings.join(users.select(norm_id("user_id").alias("user_id")).distinct(),
                                                    "user_id", "left_semi")
-    cand = unrated_predictions(r, predict_scores(r, neighbours))
+    if method == "tiled":
+        items = cut_lineage(item_dictionary(ratings))
+        cand = tiled_scores(r, cut_lineage(encode_neighbours(neighbours, items)), items, top_n=top_k).drop("kind")
+    else:
+        cand = unrated_predictions(r, predict_scores(r, neighbours))
     top = rank_within(cand, "user_id", "predicted_score", top_k)
     out = enrich_with_catalog(top, catalog)
     return out.select(
@@ -146,8 +154,12 @@ def recommend_collaborative(ratings: DataFrame, neighbours: DataFrame, catalog:
 class CollaborativeModel:
     """Fitted artefacts: ``ratings`` and ``neighbours`` (plus ``similarity``)."""
 
-    def __init__(self, ratings: DataFrame, similarity: DataFrame, neighbours: DataFrame):
+    def __init__(self, ratings: DataFrame, similarity: DataFrame, neighbours: DataFrame,
+                 items: DataFrame | None = None, neighbours_enc: DataFrame | None = None):
         self.ratings, self.similarity, self.neighbours = ratings, similarity, neighbours
+        self.items = items if items is not None else cut_lineage(item_dictionary(ratings))
+        self.neighbours_enc = neighbours_enc if neighbours_enc is not None else \
+            cut_lineage(encode_neighbours(neighbours, self.items))
 
     @classmethod
     def fit(cls, interactions: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
@@ -162,13 +174,36 @@ class CollaborativeModel:
         nb = neighbour_table(sim, ratings)
         if materialize:
             nb = cut_lineage(nb)
-        return cls(ratings, sim, nb)
+        items = cut_lineage(item_dictionary(ratings))
+        return cls(ratings, sim, nb, items, cut_lineage(encode_neighbours(nb, items)))
 
     def known_users(self) -> DataFrame:
         return self.ratings.select("user_id").distinct()
 
-    def scores(self, pairs: DataFrame | None = None) -> DataFrame:
+    def scores(self, pairs: DataFrame | None = None, method: str = "tiled") -> DataFrame:
+        """Predicted scores of ``pairs`` (0.0 when unreachable); without pairs
+        every reachable (user, item) through the relational plan."""
+        if pairs is not None and method == "tiled":
+            return tiled_scores(self.ratings, self.neighbours_enc, self.items,
+                                wants=pairs.select("user_id", "product_id").distinct()) \
+                .select("user_id", "product_id", "predicted_score")
         return predict_scores(self.ratings, self.neighbours, pairs)
 
-    def recommend(self, catalog: DataFrame, top_k: int = 10, users: DataFrame | None = None) -> DataFrame:
-        return recommend_collaborative(self.ratings, self.neighbours, catalog, top_k, users)
+    def top_and_scores(self, top_n: int, wants: DataFrame | None, users: DataFrame | None = None) -> DataFrame:
+        """One tiled pass: top-n unrated per user (kind 0) and requested pair
+        scores (kind 1)."""
+        return tiled_scores(self.ratings, self.neighbours_enc, self.items, top_n=top_n, wants=wants, users=users)
+
+    def recommend(self, catalog: DataFrame, top_k: int = 10, users: DataFrame | None = None,
+                  method: str = "tiled") -> DataFrame:
+        if method != "tiled":
+            return recommend_collaborative(self.ratings, self.neighbours, catalog, top_k, users, method)
+        r = self.ratings if users is None else self.ratings.join(
+            users.select(norm_id("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
+        cand = tiled_scores(r, self.neighbours_enc, self.items, top_n=top_k).drop("kind")
+        top = rank_within(cand, "user_id", "predicted_score", top_k)
+        out = enrich_with_catalog(top, catalog)
+        return out.select(
+            "user_id", "rank", "product_id", "product_name", "category", "price", "rating", "predicted_score",
+            F.concat(F.lit(EXPLAIN_COLLAB_PREFIX), F.col("user_id")).alias("explanation"),
+            F.lit(METHOD_COLLAB).alias("recommendation_method"))
