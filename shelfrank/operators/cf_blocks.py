@@ -40,7 +40,10 @@ def _empty() -> pd.DataFrame:
                          "pred": pd.Series([], dtype=np.float64), "kind": pd.Series([], dtype=np.int32)})
 
 
-def _tile_kernel(top_n: int | None):
+def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
+    """``mode="cf"``: num / den (weighted average); ``"dot"``: num only.
+    ``exclude="rated"`` masks the user's own rated items, ``"self"`` the item
+    whose name equals the user id."""
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return _empty()
@@ -70,6 +73,7 @@ def _tile_kernel(top_n: int | None):
         # product-id order of the tile's items (ids are opaque ints, names ride along)
         names = right.drop_duplicates("item_i").set_index("item_i")["name_i"].reindex(items).to_numpy(dtype=object)
         name_rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        name_index = pd.Index(names)
         chunk = max(1, _CHUNK_CELLS // max(ni, 1))
         out_u, out_p, out_s, out_k = [], [], [], []
         for a in range(0, nu, chunk):
@@ -88,8 +92,11 @@ def _tile_kernel(top_n: int | None):
                 sv = s_v[pos]
                 num = np.bincount(cell, weights=sv * r_val[sel][rep], minlength=cu * ni)
                 den = np.bincount(cell, weights=np.abs(sv), minlength=cu * ni)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                pred = np.where(den != 0, num / np.where(den != 0, den, 1.0), 0.0).reshape(cu, ni)
+            if mode == "dot":
+                pred = num.reshape(cu, ni)
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    pred = np.where(den != 0, num / np.where(den != 0, den, 1.0), 0.0).reshape(cu, ni)
             wsel = (u_want >= a) & (u_want < b)
             if wsel.any():
                 wi = w_i[wsel]
@@ -100,8 +107,13 @@ def _tile_kernel(top_n: int | None):
                 out_k.append(np.full(int(wsel.sum()), WANT, np.int32))
             if top_n:
                 masked = pred.copy()
-                xsel = (u_rated >= a) & (u_rated < b) & (r_excl >= 0)
-                masked[u_rated[xsel] - a, r_excl[xsel]] = -np.inf  # exclude positively rated items
+                if exclude == "self":
+                    own = name_index.get_indexer(users[a:b])
+                    hit = own >= 0
+                    masked[np.flatnonzero(hit), own[hit]] = -np.inf
+                else:
+                    xsel = (u_rated >= a) & (u_rated < b) & (r_excl >= 0)
+                    masked[u_rated[xsel] - a, r_excl[xsel]] = -np.inf  # exclude positively rated items
                 rounded = np.round(masked, 4)
                 rounded[~(rounded > 0)] = -np.inf  # only positive predictions qualify
                 m = min(top_n, ni)
@@ -155,7 +167,8 @@ def encode_neighbours(neighbours: DataFrame, items: DataFrame) -> DataFrame:
 
 def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame, top_n: int | None = None,
                  wants: DataFrame | None = None, users: DataFrame | None = None,
-                 blocks: tuple[int, int] | None = None) -> DataFrame:
+                 blocks: tuple[int, int] | None = None, out_items: DataFrame | None = None,
+                 mode: str = "cf", exclude: str = "rated") -> DataFrame:
     """``(user_id, product_id, predicted_score, kind)``: per user the top-``n``
     unrated items with a positive rounded prediction (``kind = 0``) and the
     score of every requested pair in ``wants`` (``kind = 1``, 0.0 when
@@ -163,6 +176,7 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
     ``neighbours_enc`` comes from ``encode_neighbours`` (unit diagonal
     included) and ``items`` is the id dictionary."""
     ids = items.select("product_id", F.col("iid").alias("item"))
+    oids = ids if out_items is None else out_items.select("product_id", F.col("iid").alias("item"))
     rated = ratings.where(F.col("r") > 0)
     if users is not None:
         rated = rated.join(users.select("user_id").distinct(), "user_id", "left_semi")
@@ -179,7 +193,7 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
         .withColumn("ub", ub("user_id")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
     if wants is not None:
         # pairs whose item has no id cannot be reached: score 0 (added back below)
-        w = wants.select("user_id", "product_id").distinct().join(ids, "product_id", "left")
+        w = wants.select("user_id", "product_id").distinct().join(oids, "product_id", "left")
         known_w = w.where(F.col("item").isNotNull())
         left = left.unionByName(known_w.select("user_id", "item", F.lit(None).cast("double").alias("r"),
                                                F.lit(WANT).alias("kind"))
@@ -187,9 +201,9 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
     right = neighbours_enc.select("item_j", "item_i", "name_i", "sim").withColumn("ib", ib("item_i")) \
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(bu - 1))))
     out = (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-           .applyInPandas(_tile_kernel(top_n), OUT_SCHEMA))
+           .applyInPandas(_tile_kernel(top_n, mode, exclude), OUT_SCHEMA))
     out = out.withColumn("predicted_score", F.round("pred", 4)).drop("pred")
-    out = out.join(ids.withColumnRenamed("item", "iid"), "iid").drop("iid")
+    out = out.join(oids.withColumnRenamed("item", "iid"), "iid").drop("iid")
     if top_n:
         top = out.where(F.col("kind") == TOP)
         w_ = Window.partitionBy("user_id").orderBy(F.col("predicted_score").desc(), F.col("product_id").asc())
