@@ -93,12 +93,29 @@ def embedding_text(name, category, description) -> Column:
     return F.concat(e(name), F.lit(" Category: "), e(category), F.lit(". Description: "), e(description))
 
 
+def unigrams(doc, stop_words=None) -> Column:
+    """Tokens of 2+ word characters minus stop words (doc pre-cleaned)."""
+    stop = F.array(*[F.lit(w) for w in (ENGLISH_STOP_WORDS if stop_words is None else stop_words)])
+    return F.filter(F.split(_c(doc), " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+
+
+def with_bigrams(toks) -> Column:
+    """Unigrams plus bigrams of consecutive tokens. ``toks`` should be a
+    column reference (materialised), not an expression, so it is evaluated
+    once per row rather than once per bigram."""
+    toks = _c(toks)
+    n = F.size(toks)
+    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(0))),
+                          lambda i: F.concat_ws(" ", F.element_at(toks, i), F.element_at(toks, i + 1)))
+    bigrams = F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>"))
+    return F.concat(toks, bigrams)
+
+
 def terms(doc, stop_words=None, ngram_max: int = 2) -> Column:
     """Unigrams of 2+ word characters minus stop words, plus bigrams of the
-    remaining tokens (stop words are removed before n-grams are formed)."""
-    stop = F.array(*[F.lit(w) for w in (ENGLISH_STOP_WORDS if stop_words is None else stop_words)])
-    toks = F.filter(F.split(_c(doc), " "),
-                    lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    remaining tokens (stop words are removed before n-grams are formed).
+    Prefer ``unigrams`` + ``with_bigrams`` over a materialised column."""
+    toks = unigrams(doc, stop_words)
     if ngram_max < 2:
         return toks
     n = F.size(toks)
