@@ -29,12 +29,12 @@ def _format(content) -> F.Column:
 
 
 def image_duplicates(files: DataFrame) -> DataFrame:
-    """``(md5, n_files, names)`` for every hash shared by more than one file.
-    Names per hash are few by construction (exact copies); the hash group is
-    aggregated, never the full file list."""
+    """``(md5, n_files, name)``: one row per file whose bytes hash equals at
+    least one other file's. Long form on purpose: a hash shared by a large
+    share of all files (a placeholder image) is never gathered into one list."""
     h = files.select(F.md5("content").alias("md5"), "name")
-    return (h.groupBy("md5").agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("name")).alias("names"))
-            .where(F.col("n_files") > 1))
+    counts = h.groupBy("md5").agg(F.count(F.lit(1)).alias("n_files")).where(F.col("n_files") > 1)
+    return h.join(counts, "md5").select("md5", "n_files", "name")
 
 
 def image_summary(files: DataFrame) -> DataFrame:
