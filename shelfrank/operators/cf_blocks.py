@@ -70,10 +70,11 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
         r_excl = i_index.get_indexer(rated["item"].to_numpy(dtype=np.int64))
         w_i = i_index.get_indexer(want["item"].to_numpy(dtype=np.int64))
         ni, nu = len(items), len(users)
-        # product-id order of the tile's items (ids are opaque ints, names ride along)
-        names = right.drop_duplicates("item_i").set_index("item_i")["name_i"].reindex(items).to_numpy(dtype=object)
-        name_rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-        name_index = pd.Index(names)
+        # item ids are order-preserving (assigned in product-id order), so the
+        # sorted position ``ii`` is also the product-id tie-break rank
+        if exclude == "self":
+            names = right.drop_duplicates("item_i").set_index("item_i")["name_i"].reindex(items).to_numpy(dtype=object)
+            name_index = pd.Index(names)
         chunk = max(1, _CHUNK_CELLS // max(ni, 1))
         out_u, out_p, out_s, out_k = [], [], [], []
         for a in range(0, nu, chunk):
@@ -122,7 +123,7 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
                 uu, ii = np.nonzero((rounded >= kth[:, None]) & np.isfinite(rounded))
                 if len(uu):
                     # order: user, rounded score desc, product id asc
-                    o = np.lexsort((name_rank[ii], -rounded[uu, ii], uu))
+                    o = np.lexsort((ii, -rounded[uu, ii], uu))
                     uu, ii = uu[o], ii[o]
                     first = np.concatenate([[0], np.flatnonzero(np.diff(uu)) + 1])
                     rank = np.arange(len(uu)) - np.repeat(first, np.diff(np.append(first, len(uu))))
@@ -150,19 +151,25 @@ def block_counts(n_ratings: int, n_users: int, n_sim: int, n_items: int, paralle
 
 
 def item_dictionary(ratings: DataFrame) -> DataFrame:
-    """``(product_id, iid)``: a unique 64-bit id per rated item. Built with
-    ``monotonically_increasing_id`` (no shuffle) and meant to be checkpointed,
-    since the ids depend on the partition layout."""
-    return ratings.select("product_id").distinct().withColumn("iid", F.monotonically_increasing_id())
+    """``(product_id, iid)``: a unique 64-bit id per rated item, increasing in
+    ``product_id`` order (range-partitioned sort, then
+    ``monotonically_increasing_id``: partition index in the high bits, row in
+    the low bits), so integer order is the tie-break order. Meant to be
+    checkpointed, since the ids depend on the partition layout."""
+    return order_preserving_ids(ratings.select("product_id").distinct(), "product_id")
+
+
+def order_preserving_ids(df: DataFrame, key: str) -> DataFrame:
+    return df.orderBy(key).withColumn("iid", F.monotonically_increasing_id())
 
 
 def encode_neighbours(neighbours: DataFrame, items: DataFrame) -> DataFrame:
     """``(item_j, item_i, sim)`` with integer ids plus the target's name (the
-    tie-break key): ``(item_j long, item_i long, name_i, sim)``."""
+    tie-break key is the id itself): ``(item_j long, item_i long, sim)``."""
     di = items.select(F.col("product_id").alias("name_i"), F.col("iid").alias("i_id"))
     dj = items.select(F.col("product_id").alias("__nj"), F.col("iid").alias("j_id"))
     n = neighbours.join(di, neighbours.item_i == di.name_i).join(dj, neighbours.item_j == dj.__nj)
-    return n.select(F.col("j_id").alias("item_j"), F.col("i_id").alias("item_i"), "name_i", "sim")
+    return n.select(F.col("j_id").alias("item_j"), F.col("i_id").alias("item_i"), "sim")
 
 
 def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame, top_n: int | None = None,
@@ -198,7 +205,8 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
         left = left.unionByName(known_w.select("user_id", "item", F.lit(None).cast("double").alias("r"),
                                                F.lit(WANT).alias("kind"))
                                 .withColumn("ub", ub("user_id")).withColumn("ib", ib("item")))
-    right = neighbours_enc.select("item_j", "item_i", "name_i", "sim").withColumn("ib", ib("item_i")) \
+    rcols = ["item_j", "item_i"] + (["name_i"] if exclude == "self" else []) + ["sim"]
+    right = neighbours_enc.select(*rcols).withColumn("ib", ib("item_i")) \
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(bu - 1))))
     out = (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
            .applyInPandas(_tile_kernel(top_n, mode, exclude), OUT_SCHEMA))
