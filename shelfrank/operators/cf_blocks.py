@@ -182,6 +182,8 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
     unreachable). ``ratings`` is ``(user_id, product_id, r)``;
     ``neighbours_enc`` comes from ``encode_neighbours`` (unit diagonal
     included) and ``items`` is the id dictionary."""
+    from ..session import ship_package
+    ship_package(ratings.sparkSession)
     ids = items.select("product_id", F.col("iid").alias("item"))
     oids = ids if out_items is None else out_items.select("product_id", F.col("iid").alias("item"))
     rated = ratings.where(F.col("r") > 0)

@@ -18,7 +18,7 @@ from ..operators import browse, collab, content, evaluate, hybrid, neighbors, po
 from ..operators import requests as requests_ops
 from ..schemas import (ABLATION_CONFIGS, DEFAULT_EVAL_SEEDS, DEFAULT_WEIGHTS, IMAGE_TOGGLE_CONFIGS,
                        NLP_TOGGLE_CONFIGS, SENSITIVITY_CONFIGS)
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,11 @@ def clear_fitted() -> None:
 
 def register(name: str):
     def deco(fn):
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 

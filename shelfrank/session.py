@@ -78,3 +78,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def local_cores() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfrank`` importable in Python workers (pandas UDF kernels are
+    pickled by module reference): zip the package once per application and
+    register it with ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(root)
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfrank-pkg-"), "shelfrank.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
