@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, simhash, toxicity, url_filter
+from . import decontaminate, license_scan, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_license_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op10_toxicity)}
+    op1_suffix_dedup, op2_license_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
