@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, license_scan, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_license_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op10_toxicity)}
+    op1_suffix_dedup, op2_license_scan, op3_html_extraction,
+    op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,8 @@ Fingerprints: XXH64 (seed 42) of every k-word shingle, a bit is set when more
 than half of the shingles set it. Distinct fingerprints are partitioned by a small
 vantage-point tree: at a node a fingerprint goes left or right of the median Hamming
 distance to the node's point; as a *visitor* it also goes to the other side when its distance is
-within ``radius`` of the border, since only there can the triangle bound admit a partner. In
+within ``radius`` of the border, since only there can the triangle bound admit a partner (of two
+residents the right one visits, so each border is crossed once). In
 a shard, residents and visitors are matched by further vantage points (rings of
 equal distance; rings more than ``radius`` apart are pruned) down to an exact
 comparison. Linked fingerprints are joined per shard into forests, so that a dense
@@ -29,7 +30,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SAMPLE = 20_000  # fingerprints that the tree's points and medians are taken from
-SHARD = 20_000  # residents aimed at per shard
+SHARD = 100_000  # residents aimed at per shard (a few MB with their visitors)
 BLOCK = 1 << 21  # comparisons held at once
 
 
@@ -103,8 +104,9 @@ def shards_of(fps: np.ndarray, nodes: list, radius: int):
     for _ in range(depth):
         d = distance(fps[idx], points[node]).astype(np.int64)
         left = d <= borders[node]
-        # residents are on one side; a partner within the radius may be across the border
-        cross = np.where(left, d + radius > borders[node], d - radius <= borders[node])
+        # a partner may be across a border that is within the radius; of two residents only the
+        # right one has to visit, a visitor (which looks for residents) goes both ways
+        cross = np.where(left, ~home & (d + radius > borders[node]), d - radius <= borders[node])
         own, other = np.where(left, 2 * node + 1, 2 * node + 2), np.where(left, 2 * node + 2, 2 * node + 1)
         idx = np.concatenate([idx, idx[cross]])
         node = np.concatenate([own, other[cross]])
