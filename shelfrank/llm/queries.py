@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, license_scan, lm_score, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_paths())
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
@@ -53,5 +57,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_html_extraction,
-    op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op10_toxicity)}
+    op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op9_lm_scoring, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -242,3 +242,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     by_fp = labelled.join(lowest, "root").select(F.col("fp").alias("c_fp"), "component_id")
     return rows.join(by_fp, rows.fp == by_fp.c_fp).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of every group of near-duplicates, all columns kept.
+
+    The row with the smallest (doc_id, text hash) stays, null ids last; of wholly repeated (doc_id,
+    text) rows one stays. The choice is a ``min`` per component, so a large group is no burden.
+    """
+    names = docs.columns
+    text = F.col("text").cast("string")
+    own = docs.select("*", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"),
+                                    F.md5(F.coalesce(text, F.lit(""))).alias("t")).alias("who_"))
+    # the identity travels as the ``doc_id`` of the fingerprints
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+                      F.md5(F.coalesce(text, F.lit(""))).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            fps = pa.array([_signed(fingerprint(t, shingle)) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], names=["id", "t", "fp"])
+
+    rows = stash(src.mapInArrow(run, "id long, t string, fp long").groupBy("id", "t", "fp").agg(F.count(F.lit(1)).alias("n")))
+    distinct = stash(rows.select("fp").distinct())
+    comp = components(links(distinct, radius))
+    who = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("t"))
+    rooted = rows.join(comp, rows.fp == comp.node, "left").select(
+        F.coalesce("root", "fp").alias("root"), who.alias("who"), F.col("n").alias("copies"))
+    chosen = stash(rooted.groupBy("root").agg(F.min(F.struct("who", "copies")).alias("m")).select(
+        F.col("m.who").alias("chosen_"), F.col("m.copies").alias("copies_")))
+    kept = own.join(chosen, own.who_ == chosen.chosen_)
+    single = kept.where("copies_ = 1").select(*(own[c] for c in names))
+    repeated = kept.where("copies_ > 1").dropDuplicates(["chosen_"]).select(*(own[c] for c in names))
+    return single.unionByName(repeated)
