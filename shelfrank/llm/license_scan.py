@@ -49,6 +49,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes((c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20)
               for c in range(256))
 _TAG_RE = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n\r*]+)", re.I)
+_IDENTIFIER = re.compile(r"[0-9-]")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 
 
@@ -111,7 +112,7 @@ def expression_labels(text: str) -> tuple[set, bool] | None:
     """Longest well-formed expression at the start of ``text``; None if there is none.
 
     The words after a tag may run on into prose: the expression ends where an operand
-    follows an operand.
+    follows an operand, or where a word is neither a known licence nor looks like an identifier.
     """
     tokens, operand, depth = [], True, 0
     for t in _TOKEN.findall(text):
@@ -128,8 +129,10 @@ def expression_labels(text: str) -> tuple[set, bool] | None:
             break
         elif t == "(":
             depth += 1
-        else:
+        elif label_of(t) or _IDENTIFIER.search(t) or (tokens and tokens[-1].lower() == "with"):
             operand = False
+        else:
+            break
         tokens.append(t)
     while tokens:
         postfix = to_postfix(tokens)

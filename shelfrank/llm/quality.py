@@ -26,7 +26,7 @@ SYMBOLS = frozenset("#*$%&|<>")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Lowest fence of each ratio: a ratio under it never rejects a document.
-FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.30, "repeat_ratio": 0.30, "upper_ratio": 0.30, "word_length": 12.0}
+FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "upper_ratio": 0.30, "word_length": 12.0}
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _UPPER = re.compile(r"[A-Z]")
