@@ -12,12 +12,13 @@ remaining suffixes, compare adjacent prefixes) on Spark:
   stands for the run of 200-byte strings that chose it.
 * Sort. Sampled triples are counted by name on Spark; only names met twice go on.
 * Merge. A remaining suffix starts d bytes before its sample and is named by (sample's
-  name, d, its own 200 bytes' name); the suffixes around samples with equal names are brought together,
-  sorted, and adjacent equal ones mark their bytes.
+  name, d, its own 200 bytes' name). Samples whose whole surroundings (all the strings that chose them)
+  are equal settle each other by a count, without their bytes. Of every distinct surrounding
+  one sample goes on: those with equal names are brought together, their suffixes sorted,
+  and adjacent equal ones mark their bytes.
 
-Samples of one name are spread in buckets of bounded size. A name with more than
-``hot`` samples is not put into one bucket: samples with equal surroundings are settled
-by a count, the rest emit their suffixes' names as rows and are counted by Spark.
+Names are spread over buckets of bounded size. A name with more than ``hot`` distinct
+surroundings is not put into one bucket: its suffixes become rows that Spark counts by name.
 
 Texts are identified by two 64-bit hashes; copies of a text of 200 bytes or more are repeats as a
 whole and take part once. Defined cases: a null text is empty; texts under 200 bytes lose
@@ -40,8 +41,9 @@ from .common import stash, text_bytes
 LENGTH = 200
 GRAM = 24
 SPREAD = LENGTH - GRAM  # largest distance from a string's start to its sample
-HOT = 2_000
+HOT = 20_000
 BUCKET = 10_000
+ROWS = 1_000  # samples whose suffix names are computed at once
 CHUNK = 1 << 22
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _LOW = np.uint64(0xFFFFFF)
@@ -110,19 +112,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sample_task(batches):
+    import xxhash
+    digest = xxhash.xxh64_intdigest
     for batch in batches:
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for at in range(0, batch.num_rows, 500):
-            found = [samples(text_bytes(t)) for t in batch.column(2).slice(at, 500).to_pylist()]
+            raws = [text_bytes(t) for t in batch.column(2).slice(at, 500).to_pylist()]
+            found = [samples(t) for t in raws]
             sizes = [len(f[0]) for f in found]
             p, first, last, h = (np.concatenate([f[i] for f in found]) for i in range(4))
+            run = np.fromiter((digest(t[a:b + LENGTH]) for t, f in zip(raws, found) for a, b in zip(f[1].tolist(), f[2].tolist())),
+                              np.uint64, len(p)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(k1[at:at + 500], sizes)), pa.array(np.repeat(k2[at:at + 500], sizes)), pa.array(h),
-                 pa.array(_pack(p, first, last))], names=["k1", "k2", "h", "v"])
+                 pa.array(_pack(p, first, last)), pa.array(run)], names=["k1", "k2", "h", "v", "run"])
 
 
 def _surroundings_task(batches):
-    """One row per repeated sample: its run and the bytes around it."""
+    """One row per sample that goes on: its place and the bytes around it."""
     for batch in batches:
         for i in range(batch.num_rows):
             raw = text_bytes(batch.column(2)[i].as_py())
@@ -134,16 +141,15 @@ def _surroundings_task(batches):
                 ctx = [raw[max(0, q - SPREAD):q + LENGTH] for q in p[s]]
                 h = names24(np.frombuffer(b"".join(c[min(q, SPREAD):min(q, SPREAD) + GRAM] for c, q in zip(ctx, p[s])),
                                           np.uint8).reshape(len(ctx), GRAM))[:, 0]
-                run = [hashlib.md5(raw[a:b + LENGTH]).digest()[:8] for a, b in zip(first[s], last[s])]
                 n = len(ctx)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())),
                      pa.array(h.view(np.int64)), pa.array(p[s]), pa.array(p[s] - first[s]), pa.array(p[s] - last[s]),
-                     pa.array(hot[s].astype(bool)), pa.array(np.frombuffer(b"".join(run), np.int64)), pa.array(ctx, pa.binary())],
-                    names=["k1", "k2", "h", "p", "far", "near", "hot", "run", "ctx"])
+                     pa.array(hot[s].astype(bool)), pa.array(ctx, pa.binary())],
+                    names=["k1", "k2", "h", "p", "far", "near", "hot", "ctx"])
 
 
-_CONTEXT = "k1 long, k2 long, h long, p long, far long, near long, hot boolean, run long, ctx binary"
+_CONTEXT = "k1 long, k2 long, h long, p long, far long, near long, hot boolean, ctx binary"
 
 
 def suffix_names(ctx: list[bytes], p: np.ndarray, near: np.ndarray, far: np.ndarray):
@@ -171,11 +177,14 @@ def _bucket_task(table: pa.Table) -> pa.Table:
         if end - start < 4_000 and end != len(h):
             continue
         s = slice(start, end)
-        names, owned = suffix_names(ctx[s], p[s], near[s], far[s])
-        d = np.arange(SPREAD + 1, dtype=np.uint64)
-        full = _mixed(names + _mixed(h[s].view(np.uint64)[:, None] + d * _M[1]))
-        row, dist = np.nonzero(owned)
-        key = full[row, dist]
+        keys = []
+        for at in range(start, end, ROWS):
+            t = slice(at, min(end, at + ROWS))
+            names, owned = suffix_names(ctx[t], p[t], near[t], far[t])
+            i, dist = np.nonzero(owned)
+            key = _mixed(names[i, dist] + _mixed(h[t].view(np.uint64)[i] + dist.astype(np.uint64) * _M[1]))
+            keys.append((key, (i + at - start).astype(np.int32), dist.astype(np.int16)))
+        key, row, dist = (np.concatenate(k) for k in zip(*keys))
         by = np.argsort(key)
         same = key[by][1:] == key[by][:-1]
         hit = np.zeros(len(key), bool)
@@ -208,19 +217,30 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Dat
     """``k1, k2, spans``: the covered byte ranges [a, b) of every text that has any.
 
     Shuffled: one small row per sample (about one in ninety bytes) twice, the texts once, and
-    the surroundings of repeated samples. A text's spans are bounded by its own length.
+    the distinct surroundings of repeated samples. A text's spans are bounded by its own length.
     """
-    keyed = _keyed(docs)
-    found = stash(keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(
-        _sample_task, "k1 long, k2 long, h long, v long"))
+    keyed = _keyed(docs).where(F.octet_length("text") >= LENGTH)
+    found = stash(keyed.mapInArrow(_sample_task, "k1 long, k2 long, h long, v long, run long"))
     place = F.xxhash64("k1", "k2", "v")
-    named = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("n"))
-    named = named.where("lo <> hi").select(F.col("h").alias("r_h"), "n")
-    again = found.join(named, found.h == named.r_h)
-    marked = F.col("v").bitwiseOR(F.when(F.col("n") > hot, F.lit(1 << 62)).otherwise(F.lit(0).cast("long")))
-    # a set per text: copies of a text add nothing, and a text has as many samples as its length allows
-    per_text = again.groupBy("k1", "k2").agg(F.collect_set(marked).alias("vs"))
-    once = keyed.where(F.octet_length("text") >= LENGTH).dropDuplicates(["k1", "k2"])
+    named = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select(F.col("h").alias("r_h"))
+    again = stash(found.join(named, found.h == named.r_h, "left_semi").groupBy("k1", "k2", "v").agg(
+        F.first("h").alias("h"), F.first("run").alias("run")))  # copies of a text add nothing
+
+    reach = F.col("v").bitwiseAND(F.lit(0xFFFF))
+    kinds = stash(again.groupBy("h", reach.alias("w"), "run").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "v")).alias("m")))
+    settled = kinds.where("n > 1").select(F.col("h").alias("s_h"), F.col("w").alias("s_w"), F.col("run").alias("s_run"))
+    at = F.shiftright("v", 16)
+    equal = again.join(settled, (again.h == settled.s_h) & (reach == settled.s_w) & (again.run == settled.s_run), "left_semi").select(
+        "k1", "k2", (at - F.shiftright("v", 8).bitwiseAND(F.lit(255))).alias("a"),
+        (at - F.col("v").bitwiseAND(F.lit(255)) + LENGTH).alias("b"))
+
+    # one sample of each distinct surrounding of a name that has several
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("c_h"), "c")
+    mark = F.when(F.col("c") > hot, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    going = kinds.join(several, kinds.h == several.c_h).select("m.k1", "m.k2", F.col("m.v").bitwiseOR(mark).alias("v"))
+    per_text = going.groupBy("k1", "k2").agg(F.collect_list("v").alias("vs"))  # bounded by the text's length
+    once = keyed.dropDuplicates(["k1", "k2"])
     around = stash(once.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "vs").mapInArrow(_surroundings_task, _CONTEXT))
 
     n = around.where("NOT hot").count()
@@ -228,19 +248,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Dat
     usual = around.where("NOT hot").groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")) \
         .applyInArrow(_bucket_task, "k1 long, k2 long, a long, b long")
 
-    busy = around.where("hot")
-    settled = busy.groupBy("h", "near", "far", "run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("h").alias("s_h"), F.col("near").alias("s_near"), F.col("far").alias("s_far"), F.col("run").alias("s_run"))
-    on = ((F.col("h") == F.col("s_h")) & (F.col("near") == F.col("s_near")) & (F.col("far") == F.col("s_far"))
-          & (F.col("run") == F.col("s_run")))
-    equal = busy.drop("ctx").join(settled, on, "left_semi").select(
-        "k1", "k2", (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + LENGTH).alias("b"))
-    # one sample of each settled surrounding stays, as a partner for the others
-    single = busy.groupBy("h", "near", "far", "run").agg(F.min(F.struct("k1", "k2", "p", "ctx")).alias("m")).select(
-        "h", "near", "far", "m.k1", "m.k2", "m.p", "m.ctx")
+    single = around.where("hot")
     suffixes = single.mapInArrow(_suffix_rows_task, "k1 long, k2 long, h long, d long, name long, s long")
-    pairs = suffixes.groupBy("h", "d", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "s")).alias("m")).where("n > 1")
+    pairs = suffixes.groupBy("h", "d", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     both = suffixes.join(pairs.select(F.col("h").alias("p_h"), F.col("d").alias("p_d"), F.col("name").alias("p_name")),
                          (F.col("h") == F.col("p_h")) & (F.col("d") == F.col("p_d")) & (F.col("name") == F.col("p_name")), "left_semi")
     loose = both.select("k1", "k2", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
@@ -287,10 +297,11 @@ def _with_spans(docs: DataFrame, columns) -> DataFrame:
 def _report_task(batches):
     for batch in batches:
         rows = []
-        for doc_id, text, copies, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text_bytes(text)
-            runs = _runs(raw, copies or 1, spans)
-            rows.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
+        for at in range(0, batch.num_rows, 500):
+            for doc_id, text, copies, spans in zip(*(c.slice(at, 500).to_pylist() for c in batch.columns)):
+                raw = text_bytes(text)
+                runs = _runs(raw, copies or 1, spans)
+                rows.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays(
             [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())],
