@@ -182,7 +182,7 @@ class Labeller:
         loss = -(known * np.log(np.where(y > 0.5, p, 1 - p) + 1e-7)).sum() / max(1.0, known.sum())
         return float(loss), g
 
-    def train(self, pages: list[Page], labels: list[np.ndarray], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3):
+    def train(self, pages: list[Page], labels: list[np.ndarray], epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 3):
         """Adam over the known blocks; NaN labels are context only."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros(v.shape) for k, v in self.w.items()}
@@ -222,7 +222,8 @@ _MAIN = re.compile(r"<(/?)article\b[^>]*>", re.I)
 
 
 def varied(page: str, others: list[str], r: np.random.Generator) -> str:
-    """The page with its main container renamed and known boilerplate containers added."""
+    """The page with its main container renamed, lists, tables and the like added inside it, and
+    known boilerplate containers added inside and outside."""
     main = str(r.choice(["article", "main", 'div class="post content"', 'div id="content"', 'section class="entry body"']))
     page = _MAIN.sub(lambda m: f"</{main.split()[0]}>" if m[1] else f"<{main}>", page)
     end = f"</{main.split()[0]}>"
@@ -241,6 +242,23 @@ def varied(page: str, others: list[str], r: np.random.Generator) -> str:
         inner = {0: text, 1: f"<p>{text}</p>", 2: f'<a href="/x">{text}</a>', 3: f"<h3>{text[:20]}</h3><p>{text}</p>",
                  4: f"<div>{text}</div><div>{text[::-1]}</div>"}[0 if box == "p" else int(r.integers(0, 5))]
         return f"{head}{inner}</{box}>"
+    def inside():
+        words = others[int(r.integers(0, len(others)))].split() or ["more"]
+        n = int(r.choice([1, 3, 8, 25]))
+        text = " ".join(words[:n])
+        form = ["<ul><li>{0}</li><li>{1}</li></ul>", "<ol><li>{0}<li>{1}</ol>", "<h2>{0}</h2>", "<blockquote><p>{0}</p></blockquote>",
+                "<table><tr><td>{0}</td><td>{1}</td></tr></table>", "<pre>{0}</pre>", "<p>{0}</p>", "<div>{0}</div>",
+                "<figure><figcaption>{0}</figcaption></figure>", "<p>See <a href='/y'>{0}</a></p>", "<section><h3>{0}</h3><p>{1}</p></section>"]
+        return str(r.choice(form)).format(text, " ".join(words[n:2 * n]) or text)
+    for _ in range(int(r.integers(0, 4))):
+        if end in page:
+            head, tail = page.rsplit(end, 1)
+            if r.random() < 0.5 and "</p>" in head:
+                first, rest = head.rsplit("</p>", 1) if r.random() < 0.5 else head.split("</p>", 1)
+                head = f"{first}</p>{inside()}{rest}"
+            else:
+                head += inside()
+            page = head + end + tail
     for _ in range(int(r.integers(1, 6))):
         place = int(r.integers(0, 3))
         if place == 0 and "<body>" in page:
@@ -259,7 +277,7 @@ def train_labeller(pages: DataFrame, sample: int = SAMPLE, seed: int = 11) -> La
         return None
     r, cache = np.random.default_rng(seed), {}
     texts = [b.text for row in rows for b in blocks_of(row["html"])] or ["more"]
-    made = [row["html"] for row in rows] + [varied(row["html"], texts, r) for row in rows for _ in range(2)]
+    made = [row["html"] for row in rows] + [varied(row["html"], texts, r) for row in rows for _ in range(3)]
     parsed = [b for b in (blocks_of(h) for h in made) if b]
     labels = [np.array([np.nan if (k := known_label(b)) is None else k for b in blocks]) for blocks in parsed]
     model = Labeller()
