@@ -106,7 +106,7 @@ def windows(docs: DataFrame, probe: DataFrame, n_probes: int) -> DataFrame:
         part = probe if passes == 1 else probe.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(passes)) == k)
         rows = src.select("doc_id", "text", "ws", F.posexplode("ws").alias("pos", "word"))
         hit = rows.join(F.broadcast(part), (F.col("word") == F.col("first"))
-                        & (F.concat_ws(" ", F.slice("ws", F.col("pos") + 1, SHINGLE)) == F.col("shingle")))
+                        & (F.concat_ws(" ", F.slice("ws", F.col("pos") + 1, F.least(F.lit(SHINGLE), F.col("i_n")))) == F.col("shingle")))
         # a document shorter than the item has one window, else starts run over the slack
         last = F.greatest(F.size("ws") - F.col("i_n"), F.lit(0))
         low = F.least(F.greatest(F.col("pos") - F.col("at") - F.col("slack"), F.lit(0)), last)

@@ -204,8 +204,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (a, b): alternating large-star and small-star.
+    """``node, root`` for the nodes of ``edges`` (a, b) that are not their component's smallest.
 
+    Alternating large-star and small-star.
     Every round only moves edges to smaller nodes; it ends when nothing changes. A node's
     neighbours are reduced by ``min`` and joined back, never collected.
     """
@@ -252,9 +253,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     """
     names = docs.columns
     text = F.col("text").cast("string")
-    own = docs.select("*", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"),
-                                    F.md5(F.coalesce(text, F.lit(""))).alias("t")).alias("who_"))
-    # the identity travels as the ``doc_id`` of the fingerprints
+    inner = [f"c{i}_" for i in range(len(names))]  # whatever the columns are called, no name clashes
+    own = docs.select(*(F.col(c).alias(n) for c, n in zip(names, inner)),
+                      F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"),
+                               F.md5(F.coalesce(text, F.lit(""))).alias("t")).alias("who_"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                       F.md5(F.coalesce(text, F.lit(""))).alias("t"))
 
@@ -272,6 +274,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     chosen = stash(rooted.groupBy("root").agg(F.min(F.struct("who", "copies")).alias("m")).select(
         F.col("m.who").alias("chosen_"), F.col("m.copies").alias("copies_")))
     kept = own.join(chosen, own.who_ == chosen.chosen_)
-    single = kept.where("copies_ = 1").select(*(own[c] for c in names))
-    repeated = kept.where("copies_ > 1").dropDuplicates(["chosen_"]).select(*(own[c] for c in names))
-    return single.unionByName(repeated)
+    single = kept.where("copies_ = 1").select(inner)
+    repeated = kept.where("copies_ > 1").dropDuplicates(["chosen_"]).select(inner)
+    return single.union(repeated).toDF(*names)
