@@ -328,7 +328,8 @@ ORACLE["popular_by_category"] = with_(CATALOG) + f"""SELECT lower(category) AS c
 FROM catalog QUALIFY rank <= 5"""
 
 ORACLE["recommend_for_user"] = with_(CATALOG, VECTORS, INTERACTIONS, REQUESTS, cf_ctes(), popular_top(5)) + f""",
-users AS (SELECT DISTINCT {norm_id('user_id')} AS user_id FROM requests WHERE user_id IS NOT NULL),
+users AS (SELECT DISTINCT {norm_id('user_id')} AS user_id FROM requests WHERE user_id IS NOT NULL
+          UNION SELECT 'U' || CAST(c_custkey AS VARCHAR) FROM customer),
 known AS (SELECT DISTINCT user_id FROM ratings),
 cf_top AS (
   SELECT user_id, product_id, predicted_score,

@@ -34,7 +34,7 @@ SELECT q.query_id, {norm_id('q.query_id')} AS product_id, c.product_id IS NOT NU
   c.product_name, c.category, c.description, c.price, c.rating, c.image_url
 FROM q LEFT JOIN catalog c ON c.product_id = {norm_id('q.query_id')}""".replace("\n, q AS", ", q AS", 1)
 
-ORACLE["health_summary"] = with_(CATALOG, INTERACTIONS, VECTORS, cf_ctes(), tfidf_ctes(3000)) + """SELECT
+ORACLE["health_summary"] = with_(CATALOG, INTERACTIONS, VECTORS, cf_ctes(), tfidf_ctes()) + """SELECT
   (SELECT count(*) FROM catalog) AS catalog_products,
   (SELECT count(*) FROM interactions) AS interactions,
   (SELECT count(*) FROM ratings) AS rated_pairs,

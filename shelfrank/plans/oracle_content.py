@@ -5,7 +5,7 @@ from __future__ import annotations
 from .oracle import CATALOG, ORACLE, STOP_LIST, analyzer, r4, rnd, with_
 
 
-def tfidf_ctes(max_features: int, src: str = "catalog") -> str:
+def tfidf_ctes(src: str = "catalog") -> str:
     return f"""docs AS (
   SELECT product_id, concat_ws(' ', {analyzer('product_name')}, {analyzer('category')}, {analyzer('category')},
                                {analyzer('description')}) AS doc FROM {src}),
@@ -19,7 +19,7 @@ tf AS (SELECT product_id, term, count(*) AS tf FROM (SELECT product_id, unnest(g
 ndocs AS (SELECT count(*) AS n FROM {src}),
 vocab AS (
   SELECT term, count(*) AS df, ln((n + 1) / (count(*) + 1)) + 1.0 AS idf
-  FROM tf, ndocs GROUP BY term, n ORDER BY sum(tf) DESC, term LIMIT {max_features}),
+  FROM tf, ndocs GROUP BY term, n),
 raw AS (SELECT tf.product_id, tf.term, tf.tf, tf.tf * v.idf AS raw FROM tf JOIN vocab v USING (term)),
 postings AS (
   SELECT product_id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY product_id)) AS w FROM raw)"""
@@ -43,10 +43,10 @@ ctop AS (
   FROM allp QUALIFY rank <= {k})"""
 
 
-ORACLE["tfidf_terms"] = with_(CATALOG, tfidf_ctes(3000)) + f"""SELECT p.product_id, p.term, p.tf, v.df,
+ORACLE["tfidf_terms"] = with_(CATALOG, tfidf_ctes()) + f"""SELECT p.product_id, p.term, p.tf, v.df,
   {rnd('v.idf', 6)} AS idf, {rnd('p.w', 6)} AS w FROM postings p JOIN vocab v USING (term)"""
 
-ORACLE["content_topk"] = with_(CATALOG, tfidf_ctes(3000), content_top_ctes(10)) + """,
+ORACLE["content_topk"] = with_(CATALOG, tfidf_ctes(), content_top_ctes(10)) + """,
 ov AS (
   SELECT t.target_id, t.product_id, a.term, a.w * b.w AS o,
          row_number() OVER (PARTITION BY t.target_id, t.product_id ORDER BY a.w * b.w DESC, a.term) AS r

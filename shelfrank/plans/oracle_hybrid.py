@@ -54,7 +54,7 @@ def hybrid_sql(top_k_override: int | None = None, n: int = 30) -> str:
     eff = ",\n    ".join(f"CASE WHEN asum > 0 THEN (CASE WHEN {act[s]} THEN w_{s} / asum ELSE 0.0 END) "
                          f"ELSE w_{s} END AS eff_{s}" for s in SIG)
     fused = " + ".join(f"eff_{s} * norm_{s}" for s in SIG)
-    return with_(CATALOG, VECTORS, INTERACTIONS, REQUESTS, cf_ctes(), tfidf_ctes(3000), VEC,
+    return with_(CATALOG, VECTORS, INTERACTIONS, REQUESTS, cf_ctes(), tfidf_ctes(), VEC,
                  rq_ctes(top_k_override)) + f""",
 acc AS (
   SELECT rq.*, rq.user_id IN (SELECT user_id FROM ratings) AS is_known,

@@ -147,9 +147,8 @@ def cf_model(spark, d):
     return fitted(spark, ("cf", d), lambda: collab.CollaborativeModel.fit(T.interactions(spark, d)))
 
 
-def tfidf_postings(spark, d, max_features: int = 3000):
-    return fitted(spark, ("tfidf", d, max_features),
-                  lambda: cut_lineage(content.tfidf(T.catalog(spark, d), max_features=max_features)[0]))
+def tfidf_postings(spark, d):
+    return fitted(spark, ("tfidf", d), lambda: cut_lineage(content.tfidf(T.catalog(spark, d))[0]))
 
 
 @register("ratings_mean")
@@ -191,7 +190,8 @@ def q_popular_by_category(spark, d):
 @register("recommend_for_user")
 def q_recommend_for_user(spark, d):
     """Every customer plus the unknown ids of the request table: CF or popular."""
-    users = T.requests(spark, d).select("user_id").where(F.col("user_id").isNotNull())
+    customers = T.read_table(spark, d, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("user_id"))
+    users = customers.unionByName(T.requests(spark, d).select("user_id").where(F.col("user_id").isNotNull()))
     return popular.recommend_for_user(users, cf_model(spark, d), T.catalog(spark, d), top_k=5)
 
 
@@ -199,7 +199,7 @@ def q_recommend_for_user(spark, d):
 
 @register("tfidf_terms")
 def q_tfidf_terms(spark, d):
-    postings, vocab = content.tfidf(T.catalog(spark, d), max_features=3000)
+    postings, vocab = content.tfidf(T.catalog(spark, d))
     return postings.join(vocab, "term").select("product_id", "term", "tf", "df",
                                                F.round("idf", 6).alias("idf"), F.round("w", 6).alias("w"))
 
