@@ -27,15 +27,18 @@ def filter_catalog(catalog: DataFrame, category: str | None = None, search: str
 
 
 def get_products(catalog: DataFrame, category: str | None = None, search: str | None = None,
-                 page: int = 1, limit: int = 12, regex: bool = False, order_col: str = "ordinal") -> DataFrame:
+                 page: int = 1, limit: int = 12, regex: bool = False, order_col: str = "ordinal",
+                 max_limit: int | None = None) -> DataFrame:
     """One page of the filtered catalog in catalog order, with the pagination
     fields ``total_items, page, limit, total_pages`` on every row.
 
-    ``limit`` is clamped to [1, 100], ``page`` to [1, total_pages]. The total
+    ``limit`` is at least 1 (``max_limit`` is a ceiling on request), ``page`` within [1, total_pages]. The total
     is one scalar count; the page itself is an ordered ``offset``/``limit``
     (partial top-(offset+limit) per partition, no global sort).
     """
-    limit = max(1, min(int(limit or 12), 100))
+    limit = max(1, int(limit or 12))
+    if max_limit is not None:
+        limit = min(limit, max_limit)
     df = filter_catalog(catalog, category, search, regex)
     total = df.count()
     total_pages = max(1, math.ceil(total / limit))

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import EXCLUDED, round_units, top_cells
+
 OUT_SCHEMA = "user_id string, iid long, pred double, kind int"
 TOP, WANT = 0, 1
 _CHUNK_CELLS = 4_000_000  # dense cells per user chunk inside a tile
@@ -84,7 +86,7 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
             lens = counts[r_j[sel]]
             tot = int(lens.sum())
             num = np.zeros(cu * ni)
-            den = np.zeros(cu * ni)
+            den = np.zeros(cu * ni) if mode == "cf" else None
             if tot:
                 rep = np.repeat(np.arange(int(sel.sum())), lens)
                 starts = offs[r_j[sel]]
@@ -92,7 +94,8 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
                 cell = (u_rated[sel] - a)[rep] * ni + s_i[pos]
                 sv = s_v[pos]
                 num = np.bincount(cell, weights=sv * r_val[sel][rep], minlength=cu * ni)
-                den = np.bincount(cell, weights=np.abs(sv), minlength=cu * ni)
+                if mode == "cf":
+                    den = np.bincount(cell, weights=np.abs(sv), minlength=cu * ni)
             if mode == "dot":
                 pred = num.reshape(cu, ni)
             else:
@@ -107,31 +110,21 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
                 out_s.append(wv)
                 out_k.append(np.full(int(wsel.sum()), WANT, np.int32))
             if top_n:
-                masked = pred.copy()
+                units = round_units(pred)  # the final ranking's rounding rule
                 if exclude == "self":
                     own = name_index.get_indexer(users[a:b])
                     hit = own >= 0
-                    masked[np.flatnonzero(hit), own[hit]] = -np.inf
+                    units[np.flatnonzero(hit), own[hit]] = EXCLUDED
                 else:
                     xsel = (u_rated >= a) & (u_rated < b) & (r_excl >= 0)
-                    masked[u_rated[xsel] - a, r_excl[xsel]] = -np.inf  # exclude positively rated items
-                rounded = np.round(masked, 4)
-                rounded[~(rounded > 0)] = -np.inf  # only positive predictions qualify
-                m = min(top_n, ni)
-                # n-th best rounded score per user, then exact ordering of the few cells at or above it
-                kth = -np.partition(-rounded, m - 1, axis=1)[:, m - 1]
-                uu, ii = np.nonzero((rounded >= kth[:, None]) & np.isfinite(rounded))
+                    units[u_rated[xsel] - a, r_excl[xsel]] = EXCLUDED  # positively rated items
+                units[units <= 0] = EXCLUDED  # only positive rounded predictions qualify
+                uu, ii = top_cells(units, top_n)
                 if len(uu):
-                    # order: user, rounded score desc, product id asc
-                    o = np.lexsort((ii, -rounded[uu, ii], uu))
-                    uu, ii = uu[o], ii[o]
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(uu)) + 1])
-                    rank = np.arange(len(uu)) - np.repeat(first, np.diff(np.append(first, len(uu))))
-                    keep = rank < top_n
-                    out_u.append(users[uu[keep] + a])
-                    out_p.append(items[ii[keep]])
-                    out_s.append(pred[uu[keep], ii[keep]])
-                    out_k.append(np.full(int(keep.sum()), TOP, np.int32))
+                    out_u.append(users[uu + a])
+                    out_p.append(items[ii])
+                    out_s.append(pred[uu, ii])
+                    out_k.append(np.full(len(uu), TOP, np.int32))
         if not out_u:
             return _empty()
         return pd.DataFrame({"user_id": np.concatenate(out_u), "iid": np.concatenate(out_p).astype(np.int64),

@@ -175,7 +175,6 @@ REQUESTS = """requests AS (
            ELSE 'U' || CAST(c_custkey AS VARCHAR) END END AS user_id,
     CASE WHEN c_custkey % 4 <> 0 THEN 'P' || CAST(c_custkey AS VARCHAR) END AS product_id,
     CASE WHEN c_custkey % 4 >= 2 THEN q.product_name END AS query,
-    CASE WHEN c_custkey % 4 >= 2 THEN v.embedding END AS query_vec,
     CAST(5 + (c_custkey % 3) * 5 AS INTEGER) AS top_k,
     CASE c_custkey % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.15 WHEN 2 THEN 0.15 WHEN 3 THEN NULL ELSE 0.9 END::DOUBLE
       AS w_content,
@@ -186,8 +185,7 @@ REQUESTS = """requests AS (
     CASE c_custkey % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 0.10 WHEN 2 THEN 0.10 WHEN 3 THEN NULL ELSE 0.1 END::DOUBLE
       AS w_image
   FROM customer
-  LEFT JOIN catalog q ON q.product_id = 'P' || CAST(c_custkey AS VARCHAR)
-  LEFT JOIN vectors v ON v.product_id = q.product_id)"""
+  LEFT JOIN catalog q ON q.product_id = 'P' || CAST(c_custkey AS VARCHAR))"""
 
 VECTORS = """vectors AS (
   SELECT 'P' || CAST(vec_id AS VARCHAR) AS product_id, CAST(label AS VARCHAR) AS category, embedding

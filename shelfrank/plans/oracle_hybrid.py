@@ -9,18 +9,21 @@ from __future__ import annotations
 from .oracle import (CATALOG, INTERACTIONS, ORACLE, REQUESTS, VECTORS, cf_ctes, norm_id, r4, strip,
                      with_)
 from .oracle_content import content_top_ctes, tfidf_ctes
-from .oracle_vectors import VEC, cos
+from .oracle_vectors import QTEXT, TCOS, TEXT, VEC, cos
 
 SIG = ["content", "collaborative", "nlp", "image"]
 DEFAULTS = {"content": 0.25, "collaborative": 0.35, "nlp": 0.25, "image": 0.15}
 
 
 def rq_ctes(top_k_override: int | None = None) -> str:
+    """``top_k_override`` stands for a lookup: it also takes the default weights."""
+    src = ("(SELECT * REPLACE (NULL AS w_content, NULL AS w_collaborative, NULL AS w_nlp, NULL AS w_image) FROM requests)"
+           if top_k_override else "requests")
     alln = " AND ".join(f"w_{s} IS NULL" for s in SIG)
     anyn = " OR ".join(f"w_{s} IS NULL" for s in SIG)
     eff = ",\n    ".join(f"CAST(CASE WHEN {alln} THEN {DEFAULTS[s]} ELSE w_{s} END AS DOUBLE) AS w_{s}" for s in SIG)
     k = (f"{top_k_override}" if top_k_override else
-         "CASE WHEN top_k IS NULL OR top_k < 1 OR top_k > 50 THEN 10 ELSE top_k END")
+         "greatest(coalesce(top_k, 10), 1)")
     neg = " OR ".join(f"w_{s} < 0" for s in SIG)
     tot = " + ".join(f"w_{s}" for s in SIG)
     return f"""rq1 AS (
@@ -29,10 +32,10 @@ def rq_ctes(top_k_override: int | None = None) -> str:
     CASE WHEN {norm_id('product_id')} <> '' THEN {norm_id('product_id')} END AS ref_id,
     (product_id IS NOT NULL AND product_id <> '') AS product_given,
     CASE WHEN {strip('query')} <> '' THEN query END AS query,
-    query_vec, CAST({k} AS INTEGER) AS top_k,
+    CAST({k} AS INTEGER) AS top_k,
     ({alln}) AS alln, ({anyn}) AS anyn,
     {eff}
-  FROM requests),
+  FROM {src} requests),
 rq AS (
   SELECT *, CASE WHEN NOT alln AND anyn THEN 'INVALID_WEIGHTS' WHEN {neg} THEN 'INVALID_WEIGHTS'
                  WHEN abs({tot} - 1.0) > 1e-4 THEN 'INVALID_WEIGHTS' END AS code
@@ -41,8 +44,6 @@ rq AS (
 
 def hybrid_sql(top_k_override: int | None = None, n: int = 30) -> str:
     """CTE chain ending in ``scored`` (all candidates, fused) and ``ranked``."""
-    q_cos = cos("CAST(a.query_vec AS DOUBLE[])", "x.v",
-                "sqrt(list_dot_product(CAST(a.query_vec AS DOUBLE[]), CAST(a.query_vec AS DOUBLE[])))", "x.n")
     i_cos = cos("r.v", "x.v", "r.n", "x.n")
     norm = ",\n    ".join(
         f"CASE WHEN max(raw_{s}) OVER w = min(raw_{s}) OVER w THEN (CASE WHEN raw_{s} > 0 THEN 1.0 ELSE 0.0 END) "
@@ -54,7 +55,7 @@ def hybrid_sql(top_k_override: int | None = None, n: int = 30) -> str:
     eff = ",\n    ".join(f"CASE WHEN asum > 0 THEN (CASE WHEN {act[s]} THEN w_{s} / asum ELSE 0.0 END) "
                          f"ELSE w_{s} END AS eff_{s}" for s in SIG)
     fused = " + ".join(f"eff_{s} * norm_{s}" for s in SIG)
-    return with_(CATALOG, VECTORS, INTERACTIONS, REQUESTS, cf_ctes(), tfidf_ctes(), VEC,
+    return with_(CATALOG, VECTORS, INTERACTIONS, REQUESTS, cf_ctes(), tfidf_ctes(), VEC, TEXT, QTEXT, TCOS,
                  rq_ctes(top_k_override)) + f""",
 acc AS (
   SELECT rq.*, rq.user_id IN (SELECT user_id FROM ratings) AS is_known,
@@ -66,9 +67,10 @@ cf_t AS (
   SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY predicted_score DESC, product_id) AS rk
   FROM cf_cand QUALIFY rk <= {n}),
 nlp_t AS (
-  SELECT a.request_id, x.product_id,
-         row_number() OVER (PARTITION BY a.request_id ORDER BY {r4(q_cos)} DESC, x.product_id) AS rk
-  FROM acc a JOIN vx x ON true WHERE a.query IS NOT NULL AND a.query_vec IS NOT NULL QUALIFY rk <= {n}),
+  SELECT a.request_id, c.product_id,
+         row_number() OVER (PARTITION BY a.request_id ORDER BY {r4("coalesce(t.s, 0.0)")} DESC, c.product_id) AS rk
+  FROM acc a JOIN catalog c ON true LEFT JOIN tcos t ON t.request_id = a.request_id AND t.product_id = c.product_id
+  WHERE a.query IS NOT NULL QUALIFY rk <= {n}),
 img_t AS (
   SELECT r.product_id AS ref_id, x.product_id,
          row_number() OVER (PARTITION BY r.product_id ORDER BY {r4(i_cos)} DESC, x.product_id) AS rk
@@ -96,14 +98,12 @@ rawt AS (
     {', '.join(f'a.w_{s}' for s in SIG)},
     coalesce(s.sim, 0.0) AS raw_content,
     CASE WHEN a.is_known THEN coalesce(p.predicted_score, 0.0) ELSE 0.0 END AS raw_collaborative,
-    CASE WHEN a.query IS NOT NULL AND a.query_vec IS NOT NULL AND x.v IS NOT NULL THEN {cos(
-        "CAST(a.query_vec AS DOUBLE[])", "x.v",
-        "sqrt(list_dot_product(CAST(a.query_vec AS DOUBLE[]), CAST(a.query_vec AS DOUBLE[])))", "x.n")}
-      ELSE 0.0 END AS raw_nlp,
+    CASE WHEN a.query IS NOT NULL THEN coalesce(t.s, 0.0) ELSE 0.0 END AS raw_nlp,
     CASE WHEN a.has_image AND x.v IS NOT NULL THEN {i_cos} ELSE 0.0 END AS raw_image
   FROM candc c JOIN acc a ON a.request_id = c.request_id
   LEFT JOIN sims s ON s.target_id = a.ref_id AND s.product_id = c.product_id
   LEFT JOIN pred p ON p.user_id = a.user_id AND p.product_id = c.product_id
+  LEFT JOIN tcos t ON t.request_id = c.request_id AND t.product_id = c.product_id
   LEFT JOIN vx x ON x.product_id = c.product_id
   LEFT JOIN vx r ON r.product_id = a.ref_id),
 normt AS (
@@ -143,6 +143,22 @@ ORACLE["request_validation"] = with_(CATALOG, VECTORS, REQUESTS, rq_ctes()) + ""
   ref_id AS product_id, product_given, query, top_k, w_content, w_collaborative, w_nlp, w_image,
   CASE WHEN code IS NULL THEN 'accepted' ELSE 'rejected' END AS status, code FROM rq"""
 
+_KEY = "c_custkey"
+_WEIGHT_RULE = f"""CASE {_KEY} % 5 WHEN 1 THEN 'Weights must sum to 1.0' WHEN 2 THEN 'A weight cannot be negative'
+  WHEN 3 THEN 'Weights must hold exactly the four signals' END"""
+ORACLE["request_rejections"] = with_(CATALOG) + f""", o AS (
+  SELECT CAST({_KEY} AS BIGINT) AS request_id,
+    CASE WHEN {_KEY} % 11 = 0 THEN 'INVALID_JSON'
+         WHEN {_KEY} % 3 = 0 AND {_KEY} % 7 IN (1, 3) THEN 'MISSING_QUERY'
+         WHEN {_KEY} % 3 = 1 AND 'P' || CAST({_KEY} AS VARCHAR) NOT IN (SELECT product_id FROM catalog) THEN 'PRODUCT_NOT_FOUND'
+         WHEN {_KEY} % 3 = 2 AND {_KEY} % 5 IN (1, 2, 3) THEN 'INVALID_WEIGHTS' END AS code,
+    {_WEIGHT_RULE} AS rule
+  FROM customer)
+SELECT request_id, CASE WHEN code IS NULL THEN 'accepted' ELSE 'rejected' END AS status, code,
+  CASE code WHEN 'INVALID_JSON' THEN 'The body is not valid JSON' WHEN 'MISSING_QUERY' THEN 'A query text is required'
+    WHEN 'PRODUCT_NOT_FOUND' THEN 'The product is not in the catalog' WHEN 'INVALID_WEIGHTS' THEN rule END AS message
+FROM o""".replace("\n, o AS", ", o AS", 1)
+
 ORACLE["hybrid_candidates"] = hybrid_sql() + "SELECT request_id, product_id FROM candc"
 
 ORACLE["hybrid_topk"] = hybrid_sql() + f"""SELECT r.request_id, r.rank, r.product_id, c.product_name, c.category,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import browse, collab, content, evaluate, hybrid, neighbors, popular, quality
+from ..operators import browse, collab, content, encode, evaluate, hybrid, neighbors, popular, quality
 from ..operators import requests as requests_ops
 from ..schemas import (ABLATION_CONFIGS, DEFAULT_EVAL_SEEDS, DEFAULT_WEIGHTS, IMAGE_TOGGLE_CONFIGS,
                        NLP_TOGGLE_CONFIGS, SENSITIVITY_CONFIGS)
@@ -214,8 +214,15 @@ def q_content_topk(spark, d):
 
 @register("vector_topk")
 def q_vector_topk(spark, d):
-    """Semantic search: top-10 products for every request carrying a query vector."""
-    return neighbors.semantic_search(T.requests(spark, d), T.vectors(spark, d), T.catalog(spark, d), k=10)
+    """Semantic search: top-10 products for every request with a query text."""
+    cat = T.catalog(spark, d)
+    return neighbors.semantic_search(encode.with_query_vectors(T.requests(spark, d)), encode.catalog_vectors(cat), cat, k=10)
+
+
+@register("hashed_text_embedding")
+def q_hashed_text_embedding(spark, d):
+    """Every product's text vector, as its non-zero buckets."""
+    return encode.text_features(encode.catalog_text(T.catalog(spark, d)), "product_id", "text").withColumnRenamed("id", "product_id")
 
 
 @register("image_topk")
@@ -237,9 +244,30 @@ def q_visual_query_audit(spark, d):
 # ---------------------------------------------------------------- requests & hybrid
 
 def hybrid_model(spark, d):
-    vec = T.vectors(spark, d)
-    return hybrid.HybridModel(T.catalog(spark, d), cf_model(spark, d), tfidf_postings(spark, d), vec, vec,
-                              n_candidates=30)
+    cat = T.catalog(spark, d)
+    return hybrid.HybridModel(cat, cf_model(spark, d), tfidf_postings(spark, d), encode.catalog_vectors(cat),
+                              T.vectors(spark, d), n_candidates=30)
+
+
+def hybrid_requests(spark, d):
+    return encode.with_query_vectors(T.requests(spark, d))
+
+
+@register("request_rejections")
+def q_request_rejections(spark, d):
+    """Outcome of one JSON body per customer: endpoint, shape and defects rotate with the key."""
+    k = F.col("c_custkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    text = k.cast("string")
+    weights = pick(5, '{"content": 0.25, "collaborative": 0.35, "nlp": 0.25, "image": 0.15}',
+                   '{"content": 0.9, "collaborative": 0.9, "nlp": 0.1, "image": 0.1}',
+                   '{"content": -0.1, "collaborative": 0.6, "nlp": 0.3, "image": 0.2}',
+                   '{"content": 0.25, "collaborative": 0.35, "nlp": 0.25, "image": 0.15, "price": 0.0}', 'null')
+    body = F.concat(F.lit('{"product_id": "P'), text, F.lit('", "query": "'), pick(7, "bolt", " ", "anvil", "", "cog", "nut", "cam"),
+                    F.lit('", "top_k": "'), text, F.lit('", "weights": '), weights, F.when(F.pmod(k, F.lit(11)) == 0, "").otherwise("}"))
+    bodies = T.read_table(spark, d, "customer").select(k.cast("long").alias("request_id"), body.alias("body"),
+                                                       pick(3, "search", "similar", "hybrid").alias("endpoint"))
+    return requests_ops.request_outcomes(bodies, T.catalog(spark, d))
 
 
 @register("request_validation")
@@ -251,19 +279,19 @@ def q_request_validation(spark, d):
 
 @register("hybrid_candidates")
 def q_hybrid_candidates(spark, d):
-    return hybrid.hybrid_candidates(hybrid_model(spark, d), T.requests(spark, d))
+    return hybrid.hybrid_candidates(hybrid_model(spark, d), hybrid_requests(spark, d))
 
 
 @register("hybrid_topk")
 def q_hybrid_topk(spark, d):
     """Flagship: ranked, explained hybrid recommendations for every request."""
-    return hybrid.hybrid_recommend(hybrid_model(spark, d), T.requests(spark, d))
+    return hybrid.hybrid_recommend(hybrid_model(spark, d), hybrid_requests(spark, d))
 
 
 @register("explanation_lookup")
 def q_explanation_lookup(spark, d):
     """Breakdown of product ``P{request_id + 1}`` for every request (top-20 list)."""
-    req = T.requests(spark, d)
+    req = hybrid_requests(spark, d)
     lookups = req.select("request_id", F.concat(F.lit("P"), (F.col("request_id") + 1).cast("string")).alias("product_id"))
     return hybrid.explanation_lookup(hybrid_model(spark, d), req, lookups, top_k=20)
 

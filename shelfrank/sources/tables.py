@@ -110,8 +110,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     3 user + product + query. Every 7th user id is unknown (cold start).
     Weights rotate over default / collaborative-heavy / NLP-heavy / null
     (= defaults) / invalid (sum != 1) by key % 5. The reference product is
-    ``P{key}``; the query is that product's name and its vector the product's
-    embedding (null when the product has none), standing in for an encoder.
+    ``P{key}``; the query is that product's name. ``query_vec`` is null here: vectors
+    come from the text (``operators.encode``) or from the caller.
     """
     c = read_table(spark, sf_dir, "customer").select("c_custkey")
     k = F.col("c_custkey")
@@ -136,13 +136,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("_kind"),
     )
     qsrc = catalog(spark, sf_dir).select(F.col("product_id").alias("_qpid"), F.col("product_name").alias("_qname"))
-    vsrc = vectors(spark, sf_dir).select(F.col("product_id").alias("_vpid"), F.col("embedding").alias("_qvec"))
-    with_q = (base.join(qsrc, F.concat(F.lit("P"), F.col("request_id").cast("string")) == F.col("_qpid"), "left")
-              .join(vsrc, F.col("_qpid") == F.col("_vpid"), "left"))
+    with_q = base.join(qsrc, F.concat(F.lit("P"), F.col("request_id").cast("string")) == F.col("_qpid"), "left")
     has_q = F.col("_kind") >= 2
     return with_q.select(
         "request_id", "user_id", "product_id",
         F.when(has_q, F.col("_qname")).alias("query"),
-        F.when(has_q, F.col("_qvec")).alias("query_vec"),
+        F.lit(None).cast("array<float>").alias("query_vec"),
         "top_k", "w_content", "w_collaborative", "w_nlp", "w_image",
     )
