@@ -111,20 +111,6 @@ def with_bigrams(toks) -> Column:
     return F.concat(toks, bigrams)
 
 
-def terms(doc, stop_words=None, ngram_max: int = 2) -> Column:
-    """Unigrams of 2+ word characters minus stop words, plus bigrams of the
-    remaining tokens (stop words are removed before n-grams are formed).
-    Prefer ``unigrams`` + ``with_bigrams`` over a materialised column."""
-    toks = unigrams(doc, stop_words)
-    if ngram_max < 2:
-        return toks
-    n = F.size(toks)
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(0))),
-                          lambda i: F.concat_ws(" ", F.element_at(toks, i), F.element_at(toks, i + 1)))
-    bigrams = F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
-
-
 def contains_term(col, term: str, regex: bool = False) -> Column:
     """Case-insensitive keyword predicate (literal by default)."""
     low = F.lower(_c(col))

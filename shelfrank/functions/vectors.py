@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,25 +30,3 @@ def l2_normalize(a, eps: float = 0.0) -> Column:
     """``v / (||v|| + eps)``; zero vectors stay zero."""
     n = norm(a) + F.lit(eps)
     return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
-
-
-def hashed_embedding(tokens, dim: int = 384, seed: int = 0) -> Column:
-    """Signed feature hashing of a token array into ``dim`` buckets, L2-normalised.
-
-    A lexical, deterministic stand-in for a text encoder (not semantic): token
-    ``t`` adds ``sign(t)`` to bucket ``h(t) mod dim``.
-    """
-    toks = _c(tokens)
-    h = lambda t: F.xxhash64(t, F.lit(seed))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(
-            toks, F.lit(0.0).cast("double"),
-            lambda acc, t: acc + F.when(F.pmod(h(t), F.lit(dim)) == i,
-                                        F.when(F.pmod(F.shiftright(h(t), 32), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-            .otherwise(0.0)))
-    return l2_normalize(counts)
-
-
-def stable_seed(name: str) -> int:
-    return int(hashlib.md5(name.encode()).hexdigest()[:8], 16)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_term, norm_id
+from .order_stats import rows_at
 
 BROWSE_COLUMNS = ["product_id", "product_name", "category", "description", "price", "rating", "image_url"]
 
@@ -33,8 +34,8 @@ def get_products(catalog: DataFrame, category: str | None = None, search: str |
     fields ``total_items, page, limit, total_pages`` on every row.
 
     ``limit`` is at least 1 (``max_limit`` is a ceiling on request), ``page`` within [1, total_pages]. The total
-    is one scalar count; the page itself is an ordered ``offset``/``limit``
-    (partial top-(offset+limit) per partition, no global sort).
+    is one scalar count; the page's rows are found by position (``order_stats.rows_at``): a
+    deep page costs what the first one does.
     """
     limit = max(1, int(limit or 12))
     if max_limit is not None:
@@ -43,7 +44,7 @@ def get_products(catalog: DataFrame, category: str | None = None, search: str |
     total = df.count()
     total_pages = max(1, math.ceil(total / limit))
     page = max(1, min(int(page or 1), total_pages))
-    rows = df.orderBy(F.col(order_col).asc(), F.col("product_id").asc()).offset((page - 1) * limit).limit(limit)
+    rows = rows_at(df, order_col, "product_id", (page - 1) * limit + 1, min(page * limit, total), total) if total else df
     return rows.select(*BROWSE_COLUMNS).withColumns({
         "total_items": F.lit(total).cast("long"), "page": F.lit(page), "limit": F.lit(limit),
         "total_pages": F.lit(total_pages)})

@@ -33,15 +33,12 @@ def dedup_first(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     """Keep the first row (smallest ``ordinal``) of every ``key`` value; nulls
     form one group.
 
-    Expressed as ``min(struct(ordinal, ...))`` per key: a hash aggregate with
-    map-side partial aggregation, so a hot key collapses before the shuffle
-    instead of landing whole in one window task.
+    ``min(ordinal)`` per key is a hash aggregate with map-side partial aggregation, so a hot key
+    collapses before the shuffle; the rows themselves are then picked by a semi-join.
     """
-    others = [c for c in df.columns if c not in (key, ordinal)]
-    packed = F.min(F.struct(F.col(ordinal).alias("__ord"), *[F.col(f"`{c}`") for c in others])).alias("__r")
-    out = df.groupBy(key).agg(packed)
-    return out.select(F.col(key), F.col("__r.__ord").alias(ordinal), *[F.col(f"__r.`{c}`").alias(c) for c in others]) \
-        .select(*df.columns)
+    first = df.groupBy(F.col(key).alias("__key")).agg(F.min(ordinal).alias("__first"))
+    on = df[key].eqNullSafe(first["__key"]) & (df[ordinal] == first["__first"])
+    return df.join(first, on, "left_semi")
 
 
 def remove_duplicates(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -72,20 +69,13 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .drop("__one"))
 
 
-def positive_price_median(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One-row frame with the median of positive prices (linear interpolation).
-
-    Exact by default (``percentile`` keeps a value->count map per partial
-    aggregate, bounded by distinct prices); ``approx=True`` uses
-    ``percentile_approx`` with a fixed-size sketch.
-    """
-    p = F.when(F.col("__price") > 0, F.col("__price"))
-    agg = F.percentile_approx(p, 0.5, 100000) if approx else F.percentile(p, F.lit(0.5))
-    return df.agg(agg.cast("double").alias("__median"))
+def positive_price_median(df: DataFrame) -> DataFrame:
+    """One-row frame with the exact median of positive prices (linear interpolation)."""
+    from .order_stats import exact_percentiles
+    return exact_percentiles(df.where(F.col("__price") > 0), "__price", [0.5]).withColumnRenamed("p0", "__median")
 
 
-def clean_catalog(raw: DataFrame, ordinal: str = "ordinal", approx_median: bool = False,
-                  keep_ordinal: bool = False, default_price: float = DEFAULT_PRICE,
+def clean_catalog(raw: DataFrame, ordinal: str = "ordinal", keep_ordinal: bool = False, default_price: float = DEFAULT_PRICE,
                   default_rating: float = DEFAULT_RATING, default_category: str = DEFAULT_CATEGORY,
                   default_description: str = DEFAULT_DESCRIPTION) -> DataFrame:
     """Mapped raw catalog -> clean catalog, in the fixed order: dedup ->
@@ -107,7 +97,7 @@ def clean_catalog(raw: DataFrame, ordinal: str = "ordinal", approx_median: bool
         "__price": to_double(df, "price"),
         "__rating": to_double(df, "rating"),
     })
-    med = positive_price_median(df, approx_median)
+    med = positive_price_median(df)
     fill = F.coalesce(F.col("__median"), F.lit(float(default_price)))
     df = attach_row(df, med)
     price = F.coalesce(F.col("__price"), fill)

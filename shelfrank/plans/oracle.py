@@ -285,6 +285,7 @@ FROM (SELECT CAST(unnest(range(0, {bins})) AS INTEGER) AS bin) e CROSS JOIN rng
 ORACLE["price_histogram"] = _hist_sql("price", 20)
 ORACLE["rating_histogram"] = _hist_sql("rating", 10)
 
+_OVERVIEW = ["product_id", "product_name", "category", "description", "price", "rating", "image_url"]
 ORACLE["interaction_density"] = with_(CATALOG, INTERACTIONS) + f"""SELECT
   CAST(np AS BIGINT) AS num_products, CAST(nu AS BIGINT) AS num_users, CAST(ni AS BIGINT) AS num_interactions,
   CAST(nc AS BIGINT) AS num_categories, CAST(nip AS BIGINT) AS num_interacted_products,
@@ -292,8 +293,8 @@ ORACLE["interaction_density"] = with_(CATALOG, INTERACTIONS) + f"""SELECT
   {r4('1.0 - CAST(ni AS DOUBLE) / CAST(nu * np AS DOUBLE)')} AS sparsity_catalog,
   {r4('CAST(ni AS DOUBLE) / CAST(nu * nip AS DOUBLE)')} AS density_interacted,
   {r4('1.0 - CAST(ni AS DOUBLE) / CAST(nu * nip AS DOUBLE)')} AS sparsity_interacted,
-  CAST(dup AS BIGINT) AS duplicate_product_ids
-FROM (SELECT count(*) AS np, count(DISTINCT category) AS nc,
+  CAST(dup AS BIGINT) AS duplicate_product_ids, {', '.join(f'CAST(m_{c} AS BIGINT) AS missing_{c}' for c in _OVERVIEW)}
+FROM (SELECT {', '.join(f'count(*) - count({c}) AS m_{c}' for c in _OVERVIEW)}, count(*) AS np, count(DISTINCT category) AS nc,
              count(*) - count(DISTINCT product_id) - max(CASE WHEN product_id IS NULL THEN 1 ELSE 0 END) AS dup
       FROM catalog) a,
      (SELECT count(*) AS ni, count(DISTINCT user_id) AS nu, count(DISTINCT product_id) AS nip FROM interactions) b"""
@@ -304,6 +305,15 @@ ORACLE["ratings_mean"] = with_(INTERACTIONS, cf_ctes()) + "SELECT user_id, produ
 
 ORACLE["item_similarity"] = with_(INTERACTIONS, cf_ctes()) + f"SELECT item_i, item_j, {r4('sim')} AS sim FROM sim"
 
+ORACLE["similarity_histogram"] = with_(INTERACTIONS, cf_ctes()) + f""", x AS (
+  SELECT x FROM (SELECT {r4('sim')} AS x FROM sim) WHERE x < 0.999),
+rng AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+b AS (SELECT CASE WHEN hi - lo > 0 THEN CAST(least(floor((x - lo) / (hi - lo) * 30), 29) AS INTEGER) ELSE 0 END AS bin FROM x, rng),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT e.bin, {r4('lo + (hi - lo) / 30 * e.bin')} AS bin_start, {r4('lo + (hi - lo) / 30 * (e.bin + 1)')} AS bin_end,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT CAST(unnest(range(0, 30)) AS INTEGER) AS bin) e CROSS JOIN rng LEFT JOIN c ON c.bin = e.bin""".replace("\n, x AS", ", x AS", 1)
+
 ORACLE["cf_predict"] = with_(INTERACTIONS, cf_ctes()) + """SELECT r.user_id, r.product_id,
   coalesce(p.predicted_score, 0.0) AS predicted_score
 FROM ratings r LEFT JOIN pred p ON p.user_id = r.user_id AND p.product_id = r.product_id"""
@@ -318,6 +328,14 @@ ORACLE["cf_topk"] = with_(CATALOG, INTERACTIONS, cf_ctes(), cf_top(10)) + _CF_EN
 
 ORACLE["popular_topk"] = with_(CATALOG, popular_top(10)) + "SELECT * FROM pop"
 
+_POP = f"""SELECT CAST(row_number() OVER (ORDER BY rating DESC, price DESC, product_id) AS INTEGER) AS rank,
+  product_id, product_name, category, price, rating, {r2('rating')} AS predicted_score,
+  'Top-rated popular product across catalog (Cold-Start fallback)' AS explanation,
+  'Cold-Start Popularity Strategy' AS recommendation_method"""
+ORACLE["popular_in_category"] = with_(CATALOG) + f"""SELECT *, 'promo' AS asked FROM ({_POP} FROM catalog
+  WHERE lower(category) = 'promo' OR NOT EXISTS (SELECT 1 FROM catalog WHERE lower(category) = 'promo') QUALIFY rank <= 10)
+UNION ALL SELECT *, 'nothing' FROM ({_POP} FROM catalog QUALIFY rank <= 10)"""
+
 ORACLE["popular_by_category"] = with_(CATALOG) + f"""SELECT lower(category) AS category_key,
   row_number() OVER (PARTITION BY lower(category) ORDER BY rating DESC, price DESC, product_id) AS rank,
   product_id, product_name, category, price, rating, {r2('rating')} AS predicted_score,

@@ -46,7 +46,8 @@ ctop AS (
 ORACLE["tfidf_terms"] = with_(CATALOG, tfidf_ctes()) + f"""SELECT p.product_id, p.term, p.tf, v.df,
   {rnd('v.idf', 6)} AS idf, {rnd('p.w', 6)} AS w FROM postings p JOIN vocab v USING (term)"""
 
-ORACLE["content_topk"] = with_(CATALOG, tfidf_ctes(), content_top_ctes(10)) + """,
+def _content_sql(k: int) -> str:
+    return with_(CATALOG, tfidf_ctes(), content_top_ctes(k)) + """,
 ov AS (
   SELECT t.target_id, t.product_id, a.term, a.w * b.w AS o,
          row_number() OVER (PARTITION BY t.target_id, t.product_id ORDER BY a.w * b.w DESC, a.term) AS r
@@ -63,3 +64,18 @@ SELECT t.target_id, t.rank, t.product_id, c.product_name, c.category, c.price, c
   'Content-Based Filtering (TF-IDF)' AS recommendation_method
 FROM ctop t JOIN catalog c ON c.product_id = t.product_id JOIN catalog tc ON tc.product_id = t.target_id
 LEFT JOIN terms tm ON tm.target_id = t.target_id AND tm.product_id = t.product_id""".replace("\n,\nov", ",\nov", 1)
+
+
+ORACLE["content_topk"] = _content_sql(10)
+
+_FOUND = _content_sql(5)
+_AT = _FOUND.index("SELECT t.target_id, t.rank")
+ORACLE["recommend_for_product"] = _FOUND[:_AT] + f""", want AS (
+  SELECT DISTINCT 'P' || CAST(l_partkey AS VARCHAR) AS product_id FROM lineitem
+  UNION SELECT 'NEW' || CAST(s_suppkey AS VARCHAR) FROM supplier)
+SELECT x.target_id, 'ok' AS status, x.rank, x.product_id, x.product_name, x.category, x.price, x.rating, x.similarity_score,
+  x.explanation, x.recommendation_method
+FROM ({_FOUND[_AT:]}) x WHERE x.target_id IN (SELECT product_id FROM want)
+UNION ALL
+SELECT product_id, 'PRODUCT_NOT_FOUND', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM want
+WHERE product_id NOT IN (SELECT product_id FROM catalog)"""

@@ -28,8 +28,22 @@ REGISTRY: dict[str, Query] = {}
 _FITTED: dict = {}
 
 
+def _state(spark: SparkSession, d: str) -> tuple:
+    """What the tables' files look like now: a changed file makes every artefact stale."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for t in T.TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(f"{d.rstrip('/')}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            s = fs.getContentSummary(p)
+            out.append((t, s.getLength(), s.getFileCount(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
+
+
 def fitted(spark: SparkSession, key: tuple, build):
-    k = (spark.sparkContext.applicationId, *key)
+    """``key`` is (name, data folder, ...); built anew when a table of the folder has changed."""
+    k = (spark.sparkContext.applicationId, *key, _state(spark, key[1]))
     if k not in _FITTED:
         _FITTED[k] = build()
     return _FITTED[k]
@@ -162,6 +176,12 @@ def q_item_similarity(spark, d):
     return sim.select("item_i", "item_j", F.round("sim", 4).alias("sim"))
 
 
+@register("similarity_histogram")
+def q_similarity_histogram(spark, d):
+    """Distribution of the item similarities under 0.999, in 30 bins."""
+    return quality.histogram(q_item_similarity(spark, d), "sim", 30, exclude_at_least=0.999)
+
+
 @register("cf_predict")
 def q_cf_predict(spark, d):
     """Predicted rating for every observed (user, item) pair (self term included)."""
@@ -182,6 +202,15 @@ def q_popular_topk(spark, d):
     return popular.popular_products(T.catalog(spark, d), top_k=10)
 
 
+@register("popular_in_category")
+def q_popular_in_category(spark, d):
+    """Top 10 of one category (any case), and of the whole catalog for a category nobody has."""
+    cat = T.catalog(spark, d)
+    asked = {"PROMO": "promo", "No such category": "nothing"}
+    one, none = (popular.popular_products(cat, 10, category=c).withColumn("asked", F.lit(n)) for c, n in asked.items())
+    return one.unionByName(none)
+
+
 @register("popular_by_category")
 def q_popular_by_category(spark, d):
     return popular.popular_by_category(T.catalog(spark, d), top_k=5)
@@ -210,6 +239,14 @@ def q_content_topk(spark, d):
     return content.recommend_similar(tfidf_postings(spark, d), T.catalog(spark, d), k=10)
 
 
+@register("recommend_for_product")
+def q_recommend_for_product(spark, d):
+    """Product facade over every part bought and ids no part has: similar products or a rejection."""
+    asked = T.read_table(spark, d, "lineitem").select(F.concat(F.lit(" p"), F.col("l_partkey").cast("string")).alias("product_id"))
+    other = T.read_table(spark, d, "supplier").select(F.concat(F.lit("new"), F.col("s_suppkey").cast("string")).alias("product_id"))
+    return content.recommend_for_products(tfidf_postings(spark, d), T.catalog(spark, d), asked.unionByName(other), k=5)
+
+
 # ---------------------------------------------------------------- dense vectors
 
 @register("vector_topk")
@@ -393,7 +430,7 @@ def q_health_summary(spark, d):
         T.catalog(spark, d).agg(F.count(F.lit(1)).alias("catalog_products")),
         T.interactions(spark, d).agg(F.count(F.lit(1)).alias("interactions")),
         m.ratings.agg(F.count(F.lit(1)).alias("rated_pairs"), F.count_distinct("user_id").alias("known_users")),
-        m.similarity.agg(F.count(F.lit(1)).alias("similar_item_pairs")),
+        m.neighbours.where("item_i < item_j").agg(F.count(F.lit(1)).alias("similar_item_pairs")),
         post.agg(F.count(F.lit(1)).alias("tfidf_postings"), F.count_distinct("term").alias("vocabulary_terms")),
         T.vectors(spark, d).agg(F.count(F.lit(1)).alias("vector_products")),
     ]

@@ -37,6 +37,7 @@ COLUMN_ALIASES = {
     "interaction_rating": "user_rating",
 }
 
+# Columns a catalog must have.
 REQUIRED_COLUMNS = ["product_id", "product_name", "category", "price", "rating"]
 
 # Imputation defaults and placeholder strings.
@@ -49,14 +50,6 @@ PLACEHOLDER_IMAGE_URL = "https://images.example.com/placeholder.jpg"
 IMAGE_URL_SENTINELS = ["nan", "None", ""]
 VALID_IMAGE_URL_PATTERN = r"(?i)^http|^\.|^/|[a-zA-Z0-9_-]+\.(?:jpg|jpeg|png|webp)"
 
-CATALOG_SCHEMA = T.StructType([T.StructField(c, STANDARD_TYPES[c], True) for c in STANDARD_COLUMNS])
-
-INTERACTION_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType(), True),
-    T.StructField("product_id", T.StringType(), True),
-    T.StructField("user_rating", T.DoubleType(), True),
-])
-
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType(), False),
     T.StructField("user_id", T.StringType(), True),
@@ -94,11 +87,13 @@ NLP_TOGGLE_CONFIGS = {
 }
 
 SENSITIVITY_CONFIGS = {
-    "Balanced": {"content": 0.25, "collaborative": 0.35, "nlp": 0.25, "image": 0.15},
-    "Collaborative-heavy": {"content": 0.15, "collaborative": 0.55, "nlp": 0.20, "image": 0.10},
-    "NLP-heavy": {"content": 0.15, "collaborative": 0.25, "nlp": 0.50, "image": 0.10},
+    "Config A (Default Balanced)": DEFAULT_WEIGHTS,
+    "Config B (Collab-Heavy)": {"content": 0.15, "collaborative": 0.55, "nlp": 0.20, "image": 0.10},
+    "Config C (NLP-Heavy)": {"content": 0.20, "collaborative": 0.20, "nlp": 0.50, "image": 0.10},
+    "Config D (Content/Collab)": {"content": 0.30, "collaborative": 0.40, "nlp": 0.20, "image": 0.10},
 }
 
+# Seeds of the multi-seed evaluation.
 DEFAULT_EVAL_SEEDS = [42, 7, 21, 100, 123]
 
 # Method labels and explanation sentences shown to users.

@@ -51,13 +51,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the session's ``spark.checkpoint.dir``; pick one only when it is unset.
 
-    On a cluster the setting names a shared folder and is always honoured. The
-    fallback (a fresh folder under the system temp dir) is for local runs only.
+    On a cluster the setting names a shared folder and is always honoured; without it
+    this raises. The fallback (a fresh folder under the system temp dir) is for
+    single-JVM local runs only.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         path = configured
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder they all share")
     else:
         path = fallback or tempfile.mkdtemp(prefix="shelfrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -76,10 +79,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-
-
 _SHIPPED: set = set()
 
 

@@ -35,14 +35,19 @@ def save_artifacts(path: str, **tables: DataFrame) -> None:
         df.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other problem (damage, access) is left to the reader."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_artifacts(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     out = {}
     for n in names:
         p = os.path.join(path, n)
-        try:
-            out[n] = spark.read.parquet(p)
-        except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"Model artifact not found at {p}") from e
+        if not _exists(spark, p):
+            raise FileNotFoundError(f"Model artifact not found at {p}")
+        out[n] = spark.read.parquet(p)
     return out
 
 
@@ -53,8 +58,8 @@ def save_weights(spark: SparkSession, path: str, weights: dict) -> None:
 
 def load_weights(spark: SparkSession, path: str) -> dict:
     """Stored weights, or the defaults when none were saved."""
-    try:
-        r = spark.read.parquet(os.path.join(path, "weights")).first()
-    except Exception:  # noqa: BLE001
+    stored = os.path.join(path, "weights")
+    if not _exists(spark, stored):
         return dict(DEFAULT_WEIGHTS)
+    r = spark.read.parquet(stored).first()
     return {s: r[f"w_{s}"] for s in SIGNALS}
