@@ -1,6 +1,6 @@
 """Language-model scores: exact unigram base and a hashed maximum-entropy model.
 
-The corpus is cut into blocks of about a million tokens; a block is one row with its
+The corpus is cut into blocks of about two million tokens; a block is one row with its
 documents' token ids and its own dictionary (word hashes). Word counts are a Spark
 aggregation over the blocks' dictionaries, joined back to them, so they cover every training
 document and no task holds the vocabulary.
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_of, stash, text_bytes
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 CLASSES = MEMBERS = 16
 OWN = 192  # buckets of single words; the other 64 are hashed
 CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 15
 FEATURES = 3
-STEP = 8192  # tokens of one gradient step
+STEP = 16384  # tokens of one gradient step
 ROUNDS = 2
 CHUNK_ROWS = 1024  # weight rows that travel as one record
 _END = b"\n"  # no word: words hold no white space
@@ -46,6 +46,19 @@ class _Ids(dict):
         return n
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Token ids as four byte planes, compressed: the high planes are nearly empty."""
+    import zstandard
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     return [*text_bytes(text).translate(_LOWER).split(), _END]
 
@@ -71,7 +84,7 @@ def _block_task(mod, held_out, size):
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             return pa.RecordBatch.from_arrays(
                 [pa.array([(task << 24) | serial]), one(doc_ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()),
-                 pa.array([flat.astype("<u4").tobytes()], pa.binary()), one(hashes, pa.int64()), one(train, pa.int64())],
+                 pa.array([pack_ids(flat)], pa.binary()), one(hashes, pa.int64()), one(train, pa.int64())],
                 schema=schema)
 
         for batch in batches:
@@ -131,25 +144,28 @@ def contexts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([mix(one, 0), mix(one * _M[1] + two, 1), mix(two, 2)])
 
 
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
+
+
 def _softmax(z):
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -30, 30, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ _ONES[:z.shape[1]])[:, None]
     return z
 
 
 def predict(w: Weights, feats: np.ndarray, target: np.ndarray):
     """(P(class), P(member | class), rows of both tables) of tokens with their bucket."""
     cls = target // MEMBERS
-    rows_c = (feats % np.uint64(CLASS_ROWS)).astype(np.uint16)
-    rows_m = (mix(feats + cls.astype(np.uint64) * _M[0], 1) % np.uint64(MEMBER_ROWS)).astype(np.uint16)
-    zc = w.classes[rows_c[0]]
-    zm = w.members[rows_m[0]]
+    rows_c = (feats & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
+    rows_m = (mix(feats + cls.astype(np.uint64) * _M[0], 1) & np.uint64(MEMBER_ROWS - 1)).astype(np.uint16)
+    zc = w.classes.take(rows_c[0], axis=0)
+    zm = w.members.take(rows_m[0], axis=0)
     for k in range(1, FEATURES):
-        zc += w.classes[rows_c[k]]
-        zm += w.members[rows_m[k]]
+        zc += w.classes.take(rows_c[k], axis=0)
+        zm += w.members.take(rows_m[k], axis=0)
     zc += w.classes[CLASS_ROWS]
-    zm += w.members[MEMBER_ROWS + cls]
+    zm += w.members.take(MEMBER_ROWS + cls, axis=0)
     return _softmax(zc), _softmax(zm), rows_c, rows_m
 
 
@@ -159,7 +175,7 @@ def _row_sums(rows: np.ndarray, grad: np.ndarray):
     order = np.argsort(flat, kind="stable")  # radix sort: the rows are 16-bit
     ranked = flat[order]
     at = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    return ranked[at].astype(np.int64), np.add.reduceat(grad[order % len(grad)], at, axis=0), np.diff(np.r_[at, len(flat)])
+    return ranked[at].astype(np.int64), np.add.reduceat(grad.take(order % len(grad), axis=0), at, axis=0), np.diff(np.r_[at, len(flat)])
 
 
 class Trainer:
@@ -200,7 +216,7 @@ class Trainer:
 
 def _arrays(batch, i):
     """(token hashes, sizes, held, ids, dictionary hashes) of one block row."""
-    ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4")
+    ids = unpack_ids(batch.column("ids")[i].as_py())
     hashes = np.asarray(batch.column("hashes")[i].values)
     sizes = np.asarray(batch.column("sizes")[i].values).astype(np.int64)
     held = batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
