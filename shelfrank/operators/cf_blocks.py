@@ -14,8 +14,8 @@ routing every partial product through a shuffle + hash aggregate moves
   memory stays bounded) and emits only each user's top-``n`` unrated items
   of the tile plus the explicitly requested ``(user, item)`` scores.
 
-Block counts are chosen from the table sizes so that the replicated volume
-``|R+|·bi + |S|·bu`` stays small and each tile fits a task; the final top-n
+Block counts are chosen from measured sizes so that the replicated volume
+``|R+|·bi + |S|·bu`` is least and each tile's rows and products stay in a fixed budget; the final top-n
 per user merges at most ``bi · n`` rows per user with a WindowGroupLimit.
 Ranking and tie rule are the same as the relational path: rounded (4 dp)
 score descending, then product id.
@@ -132,15 +132,23 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
     return run
 
 
-def block_counts(n_ratings: int, n_users: int, n_sim: int, n_items: int, parallelism: int = 8,
-                 tile_rows: int = 3_000_000, max_users_per_block: int = 20_000) -> tuple[int, int]:
-    """Choose (bu, bi): enough item blocks that a tile's similarity rows stay
-    under ``tile_rows`` and every core has a tile, enough user blocks that a
-    tile's users stay bounded; replication of the smaller side is preferred."""
-    bi = max(1, math.ceil(n_sim / tile_rows), parallelism)
-    bu = max(1, math.ceil(n_users / max_users_per_block))
+TILE_GATHER = 40_000_000  # products summed in one tile
+TILE_ROWS = 2_000_000  # rows of either side in one tile
+USERS_PER_BLOCK = 20_000
+
+
+def block_counts(n_ratings: int, n_users: int, n_sim: int, n_items: int, gather: int) -> tuple[int, int]:
+    """(bu, bi): the grid that copies least, ``|R| bi + |S| bu``, with every tile in its budget.
+
+    ``gather`` is the measured number of products over all tiles. For T tiles the copies are least at
+    ``bi = sqrt(T |S| / |R|)``, so they grow with the square root of the tile count; the number
+    of cores plays no part.
+    """
+    tiles = max(1, math.ceil(gather / TILE_GATHER))
+    bi = max(1, round(math.sqrt(tiles * max(1, n_sim) / max(1, n_ratings))), math.ceil(n_sim / TILE_ROWS))
     bi = min(bi, max(1, n_items))
-    return bu, bi
+    bu = max(1, math.ceil(tiles / bi), math.ceil(n_ratings / TILE_ROWS), math.ceil(n_users / USERS_PER_BLOCK))
+    return min(bu, max(1, n_users)), bi
 
 
 def item_dictionary(ratings: DataFrame) -> DataFrame:
@@ -184,10 +192,13 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
         rated = rated.join(users.select("user_id").distinct(), "user_id", "left_semi")
     rated = rated.join(ids, "product_id")
     if blocks is None:
-        st = rated.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u")).first()
-        sn = neighbours_enc.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item_i").alias("i")).first()
-        par = ratings.sparkSession.sparkContext.defaultParallelism
-        blocks = block_counts(st["n"], st["u"], sn["n"], sn["i"], par)
+        users_n = rated.select("user_id").distinct().count()
+        per_j = rated.groupBy("item").agg(F.count(F.lit(1)).alias("r"))
+        deg = neighbours_enc.groupBy("item_j").agg(F.count(F.lit(1)).alias("s"))
+        both = per_j.join(deg, per_j.item == deg.item_j, "full")
+        m = both.agg(F.sum("r").alias("r"), F.sum("s").alias("s"), F.sum(F.col("r") * F.col("s")).alias("g"),
+                     F.count("item_j").alias("i")).first()
+        blocks = block_counts(m["r"] or 0, users_n, m["s"] or 0, m["i"] or 0, m["g"] or 0)
     bu, bi = blocks
     ub = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bu)).cast("int")
     ib = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bi)).cast("int")

@@ -10,7 +10,8 @@ in one task. Here every group is cut into ``nb = ceil(n / block_rows)`` item
 blocks (by item hash) and the join key is ``(group, left_block, right_block)``
 over the upper triangle of block pairs, so no task sees more than
 ``block_rows²`` pairs however large a group is; small groups (nb = 1) are not
-replicated at all. The sum is then a regular hash aggregate with map-side
+replicated at all. A hot group's size reaches its rows by broadcast, not by a join on the
+group, so its rows are split before any shuffle. The sum is then a regular hash aggregate with map-side
 partial aggregation.
 """
 
@@ -19,14 +20,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import attach_row
+
 DEFAULT_BLOCK_ROWS = 512
+HOT_SHARE = 100
 
 
 def co_occurrence(df: DataFrame, group: str, item: str, weight: str,
                   block_rows: int = DEFAULT_BLOCK_ROWS, out_i: str = "item_i",
                   out_j: str = "item_j", out_v: str = "dot") -> DataFrame:
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    d = (df.select(group, item, weight).join(sizes, group)
+    # groups with over 1/HOT_SHARE of all rows: fewer than HOT_SHARE of them, so they are broadcast
+    # and their rows never meet on one join key
+    hot = attach_row(sizes, df.agg(F.count(F.lit(1)).alias("__all"))).where(
+        (F.col("__n") * HOT_SHARE > F.col("__all")) & (F.col("__n") > block_rows)).select(group, "__n")
+    rows = df.select(group, item, weight)
+    d = (rows.join(F.broadcast(hot), group).unionByName(rows.join(F.broadcast(hot), group, "left_anti").join(sizes, group))
          .withColumn("__nb", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(block_rows))).cast("int"))
          .withColumn("__blk", F.pmod(F.xxhash64(F.col(item)), F.col("__nb")).cast("int")))
     left = d.select(F.col(group).alias("__g"), F.col("__blk").alias("__lb"),

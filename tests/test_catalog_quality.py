@@ -68,6 +68,47 @@ def test_validation_empty_and_missing_columns(spark):
     assert set(r.missing_columns) == {"product_name", "category", "rating"}
 
 
+def test_validation_details_rows(spark):
+    df = spark.createDataFrame([], "product_id string, price double")
+    got = {(r.check, r.message) for r in quality.validation_details(quality.validate_dataset(df)).collect()}
+    assert got == {("missing_columns", "ERROR: Missing required schema columns: ['product_name', 'category', 'rating']"),
+                   ("total_rows", "ERROR: DataFrame is empty.")}
+
+
+def test_exact_percentiles(spark):
+    import random
+    from shelfrank.operators.order_stats import exact_percentiles
+    r = random.Random(4)
+    for n in (1, 2, 5, 6, 97, 40_000):
+        x = [r.choice([r.gauss(0, 1), 1.5, float(r.randrange(50))]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double").repartition(5)
+        qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+        want = df.agg(*(F.percentile("v", F.lit(q)).alias(f"p{i}") for i, q in enumerate(qs))).first()
+        assert [round(v, 9) for v in exact_percentiles(df, "v", qs).first()] == [round(v, 9) for v in want]
+    empty = exact_percentiles(df.where("false"), "v", [0.5]).collect()
+    assert [tuple(e) for e in empty] == [(None,)]
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    import pytest
+    from shelfrank import session
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return d
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 3, 4, 10]], "v double")
     h = {r.bin: r.n for r in quality.histogram(df, "v", 5).collect()}

@@ -123,6 +123,67 @@ def test_category_bias_matches_pairs(spark):
     assert (r.intra_category_mean, r.inter_category_mean, r.category_bias_delta) == (0.9939, 0.055, 0.9388)
 
 
+def test_partial_lists_round_like_spark(spark):
+    from shelfrank.functions.rounding import round_units, top_cells
+    x = [3.03125, 3.0312, -3.03125, 0.00005, 0.00004, 2.9999999999999996, 1 / 3, -0.5, 0.12345, 0.123450000001]
+    want = [round(r[0] * 10_000) for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 4)).collect()]
+    assert round_units(np.array(x)).tolist() == want
+    rows, cols = top_cells(round_units(np.array([[3.0312, 3.03125, 3.0], [1.0, 1.0, 1.0]])), 1)
+    assert cols.tolist() == [1, 0]
+
+
+def test_knn_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(0, 3, size=(80, 4)).astype(float)  # many ties
+    df = spark.createDataFrame([(f"P{i:02d}", v.tolist()) for i, v in enumerate(vecs)], "product_id string, vec array<float>")
+    q = df.select(F.col("product_id").alias("qid"), "vec")
+    one, many = (sorted(map(tuple, neighbors.knn(q, df, 5, True, b).select("qid", "rank", "product_id").collect())) for b in (1000, 7))
+    assert one == many
+
+
+def test_tiles_do_not_change_the_answer(spark, sf_dir):
+    from shelfrank.operators.cf_blocks import tiled_scores
+    from shelfrank.sources import tables as T
+    m = collab.CollaborativeModel.fit(T.interactions(spark, sf_dir))
+    got = [sorted(map(tuple, tiled_scores(m.ratings, m.neighbours_enc, m.items, top_n=4, blocks=b).collect())) for b in ((1, 1), (3, 5))]
+    assert got[0] == got[1]
+
+
+def test_grid_copies_grow_with_the_square_root():
+    from shelfrank.operators.cf_blocks import TILE_GATHER, block_counts
+    small = block_counts(10**6, 10**4, 10**6, 10**4, 16 * TILE_GATHER)
+    large = block_counts(10**6, 10**4, 10**6, 10**4, 1600 * TILE_GATHER)
+    assert small == (4, 4) and large == (40, 40)
+
+
+def test_visual_lists_are_full_without_catalog_gaps(spark, small_catalog):
+    vecs = spark.createDataFrame([(f"P{i}", [float(i), 1.0]) for i in range(90, 130)], "product_id string, embedding array<float>")
+    out = neighbors.visual_neighbours(vecs, small_catalog, k=3).collect()
+    assert len(out) == 4 * 3 and {r.product_id for r in out} <= {"P101", "P102", "P103", "P104"}
+
+
+def test_text_encoder(spark):
+    from shelfrank.operators import encode
+    df = spark.createDataFrame([("a", "Wireless noise cancelling headphones"), ("b", "wireless NOISE cancelling headphones!"),
+                                ("c", "cotton hoodie"), ("d", " ")], "id string, t string")
+    v = {r.id: np.array(r.embedding) for r in encode.encode_text(df, "id", "t", "id").collect()}
+    assert all(len(x) == 384 for x in v.values()) and (v["a"] == v["b"]).all() and not v["d"].any()
+    assert v["a"] @ v["c"] < v["a"] @ v["b"]
+
+
+def test_unknown_products_are_reported(spark, small_catalog):
+    postings, _ = content.tfidf(small_catalog)
+    ids = spark.createDataFrame([(" p101 ",), ("P999",), (None,)], "product_id string")
+    out = content.recommend_for_products(postings, small_catalog, ids, k=2).collect()
+    assert sorted((r.target_id, r.status) for r in out) == [("P101", "ok"), ("P101", "ok"), ("P999", "PRODUCT_NOT_FOUND")]
+
+
+def test_hot_group_sizes_are_broadcast(spark):
+    rows = [("g", f"i{k:03d}", 1.0) for k in range(300)] + [(f"u{k}", "i000", 1.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "g string, item string, w double")
+    assert co_occurrence(df, "g", "item", "w", block_rows=32).count() == 300 * 299 // 2
+
+
 def test_weight_validation():
     assert validate_weights({"content": .25, "collaborative": .35, "nlp": .25, "image": .15})
     with pytest.raises(ValueError, match="must sum to 1.0"):

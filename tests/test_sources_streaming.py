@@ -3,10 +3,10 @@ import struct
 import tempfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from shelfrank.operators import catalog as cat_ops
-from shelfrank.sources import generate, images, store
+from shelfrank.sources import images, store
 from shelfrank.streaming import ingest
 
 
@@ -37,17 +37,6 @@ def test_image_audit_and_coverage(spark, small_catalog):
     assert cov["P102"] == "present" and cov["P101"] == "url"
 
 
-def test_synthetic_generators(spark):
-    p = generate.synthetic_products(spark, 150, seed=42)
-    assert p.count() == 152 and p.select("product_id").distinct().count() == 151
-    r = p.where("ordinal < 150").agg(F.min("price"), F.max("price"), F.min("rating"), F.max("rating")).first()
-    assert 12.5 <= r[0] and r[1] <= 499.99 and 2.5 <= r[2] and r[3] <= 5.0
-    i = generate.synthetic_interactions(spark, p, 150, 40, 600, seed=42)
-    assert i.count() == 600 and i.select("user_id").distinct().count() <= 40
-    clean = cat_ops.clean_catalog(p)
-    assert clean.count() == 140  # id duplicate, dirty-name dedup and repeated template names removed
-
-
 def test_artifact_store_roundtrip(spark, small_catalog):
     d = tempfile.mkdtemp(prefix="art-")
     store.save_artifacts(d, catalog=small_catalog)
@@ -60,6 +49,20 @@ def test_artifact_store_roundtrip(spark, small_catalog):
         raise AssertionError("expected FileNotFoundError")
     except FileNotFoundError:
         pass
+    with open(os.path.join(tempfile.mkdtemp(prefix="bad-"), "x"), "w") as f:
+        f.write("no parquet")
+    os.makedirs(os.path.join(os.path.dirname(f.name), "weights"))
+    with open(os.path.join(os.path.dirname(f.name), "weights", "part-0.parquet"), "w") as g:
+        g.write("damaged")
+    with pytest.raises(Exception):  # damage is reported, not replaced by the defaults
+        store.load_weights(spark, os.path.dirname(f.name))
+
+
+def test_csv_catalog_and_interactions(spark, small_catalog):
+    d = os.path.join(tempfile.mkdtemp(prefix="csv-"), "c")
+    store.write_catalog(small_catalog.drop("ordinal"), d, fmt="csv")
+    back = store.read_raw_catalog(spark, d)
+    assert back.count() == 4 and back.where("product_id = 'P103'").first().product_name == "Cotton Hoodie"
 
 
 def test_streaming_ratings_match_batch(spark, small_interactions):
