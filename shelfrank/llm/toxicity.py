@@ -33,6 +33,7 @@ LEXICON = 20_000  # features kept, at most
 PREFIXES = range(4, 9)
 DOC_CAP = 4  # occurrences of a feature that one text adds to the counts
 DRIFT = -0.08
+SLICE = 300  # texts whose counts are held at once
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,23 +46,28 @@ def features_of(word: str) -> list[str]:
 
 
 def _count_task(batches):
-    """Feature counts of a batch: capped occurrences and texts, toxic and clean."""
+    """Feature counts of some hundred texts at a time: capped occurrences and texts, toxic and clean.
+
+    Spark adds them up before the shuffle; a larger dictionary would only hold memory.
+    """
     for batch in batches:
-        totals: dict[str, list] = {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own: Counter = Counter()
-            for w, c in Counter(tokens_of(text)).items():
-                for f in features_of(w):
-                    own[f] += c
-            own[""] = 1  # counts the texts
-            for f, c in own.items():
-                t = totals.setdefault(f, [0, 0, 0, 0])
-                t[toxic] += min(c, DOC_CAP)
-                t[2 + toxic] += 1
-        cols = list(zip(*totals.values())) or [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.string()), *(pa.array(c, pa.int64()) for c in cols)],
-            names=["f", "c0", "c1", "d0", "d1"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            totals: dict[str, list] = {}
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                own: Counter = Counter()
+                for w, c in Counter(tokens_of(text)).items():
+                    for f in features_of(w):
+                        own[f] += c
+                own[""] = 1  # counts the texts
+                for f, c in own.items():
+                    t = totals.setdefault(f, [0, 0, 0, 0])
+                    t[toxic] += min(c, DOC_CAP)
+                    t[2 + toxic] += 1
+            cols = list(zip(*totals.values())) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(totals), pa.string()), *(pa.array(c, pa.int64()) for c in cols)],
+                names=["f", "c0", "c1", "d0", "d1"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, mod: int = 5) -> DataFrame:
@@ -102,7 +108,7 @@ def token_scores(words: list[str], lexicon: dict[str, float], cache: dict[str, f
         s = cache.get(w)
         if s is None:
             found = [lexicon[f] for f in features_of(w) if f in lexicon]
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
             s = cache[w] = max(found, default=DRIFT)
         out.append(s)
