@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, license_scan, lm_score, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
+from .oracle import ORACLES  # noqa: F401  (registered with the queries)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_html_extraction,
     op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op9_lm_scoring, op10_toxicity)}
-ORACLES: dict[str, str] = {}
