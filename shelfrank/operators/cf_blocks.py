@@ -164,15 +164,6 @@ def order_preserving_ids(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(key).withColumn("iid", F.monotonically_increasing_id())
 
 
-def encode_neighbours(neighbours: DataFrame, items: DataFrame) -> DataFrame:
-    """``(item_j, item_i, sim)`` with integer ids plus the target's name (the
-    tie-break key is the id itself): ``(item_j long, item_i long, sim)``."""
-    di = items.select(F.col("product_id").alias("name_i"), F.col("iid").alias("i_id"))
-    dj = items.select(F.col("product_id").alias("__nj"), F.col("iid").alias("j_id"))
-    n = neighbours.join(di, neighbours.item_i == di.name_i).join(dj, neighbours.item_j == dj.__nj)
-    return n.select(F.col("j_id").alias("item_j"), F.col("i_id").alias("item_i"), "sim")
-
-
 def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame, top_n: int | None = None,
                  wants: DataFrame | None = None, users: DataFrame | None = None,
                  blocks: tuple[int, int] | None = None, out_items: DataFrame | None = None,
@@ -181,7 +172,7 @@ def tiled_scores(ratings: DataFrame, neighbours_enc: DataFrame, items: DataFrame
     unrated items with a positive rounded prediction (``kind = 0``) and the
     score of every requested pair in ``wants`` (``kind = 1``, 0.0 when
     unreachable). ``ratings`` is ``(user_id, product_id, r)``;
-    ``neighbours_enc`` comes from ``encode_neighbours`` (unit diagonal
+    ``neighbours_enc`` is ``(item_j, item_i, sim)`` on ids (unit diagonal
     included) and ``items`` is the id dictionary."""
     from ..session import ship_package
     ship_package(ratings.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_id
 from ..session import cut_lineage
 from ..schemas import EXPLAIN_COLLAB_PREFIX, METHOD_COLLAB
-from .cf_blocks import encode_neighbours, item_dictionary, tiled_scores
+from .cf_blocks import item_dictionary, tiled_scores
 from .pairs import DEFAULT_BLOCK_ROWS, co_occurrence, mirror
 
 
@@ -130,52 +130,49 @@ def unrated_predictions(ratings: DataFrame, scores: DataFrame) -> DataFrame:
             .where(F.col("predicted_score") > 0))
 
 
-def recommend_collaborative(ratings: DataFrame, neighbours: DataFrame, catalog: DataFrame,
-                            top_k: int = 10, users: DataFrame | None = None, method: str = "tiled") -> DataFrame:
-    """Top-k unrated items per known user (all users, or those in ``users``).
-
-    ``method="tiled"`` uses the blocked NumPy product (``cf_blocks``);
-    ``"relational"`` the join + aggregate plan; both give the same rows."""
-    r = ratings if users is None else ratings.join(users.select(norm_id("user_id").alias("user_id")).distinct(),
-                                                   "user_id", "left_semi")
-    if method == "tiled":
-        items = cut_lineage(item_dictionary(ratings))
-        cand = tiled_scores(r, cut_lineage(encode_neighbours(neighbours, items)), items, top_n=top_k).drop("kind")
-    else:
-        cand = unrated_predictions(r, predict_scores(r, neighbours))
-    top = rank_within(cand, "user_id", "predicted_score", top_k)
-    out = enrich_with_catalog(top, catalog)
-    return out.select(
+def decorate(top: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Ranked predictions with catalog fields, explanation and method."""
+    return enrich_with_catalog(top, catalog).select(
         "user_id", "rank", "product_id", "product_name", "category", "price", "rating", "predicted_score",
         F.concat(F.lit(EXPLAIN_COLLAB_PREFIX), F.col("user_id")).alias("explanation"),
         F.lit(METHOD_COLLAB).alias("recommendation_method"))
 
 
 class CollaborativeModel:
-    """Fitted artefacts: ``ratings`` and ``neighbours`` (plus ``similarity``)."""
+    """Fitted artefacts: ``ratings`` (names), ``items`` (product_id, iid) and
+    ``neighbours_enc`` (item_j, item_i, sim) on integer ids.
 
-    def __init__(self, ratings: DataFrame, similarity: DataFrame, neighbours: DataFrame,
-                 items: DataFrame | None = None, neighbours_enc: DataFrame | None = None):
-        self.ratings, self.similarity, self.neighbours = ratings, similarity, neighbours
-        self.items = items if items is not None else cut_lineage(item_dictionary(ratings))
-        self.neighbours_enc = neighbours_enc if neighbours_enc is not None else \
-            cut_lineage(encode_neighbours(neighbours, self.items))
+    ``similarity`` and ``neighbours`` are the same pairs under product names, decoded when asked for.
+    """
+
+    def __init__(self, ratings: DataFrame, items: DataFrame, neighbours_enc: DataFrame):
+        self.ratings, self.items, self.neighbours_enc = ratings, items, neighbours_enc
 
     @classmethod
-    def fit(cls, interactions: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-            min_support: int = 1, materialize: bool = True) -> "CollaborativeModel":
-        """Build ``ratings`` and ``neighbours``. With ``materialize`` both are
-        written once to the reliable checkpoint directory (the model artefacts),
-        so later plans read them instead of re-deriving the scan + join."""
-        ratings = rating_table(interactions)
-        if materialize:
-            ratings = cut_lineage(ratings)
-        sim = item_similarity(ratings, block_rows, min_support)
-        nb = neighbour_table(sim, ratings)
-        if materialize:
-            nb = cut_lineage(nb)
+    def fit(cls, interactions: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS, min_support: int = 1) -> "CollaborativeModel":
+        """Ids are encoded once, on the ratings; the pair self-join, the norms and the one stored pair
+        table run on integers. The item ids increase with the product id, so they also order ties."""
+        ratings = cut_lineage(rating_table(interactions))
         items = cut_lineage(item_dictionary(ratings))
-        return cls(ratings, sim, nb, items, cut_lineage(encode_neighbours(nb, items)))
+        users = cut_lineage(ratings.select("user_id").distinct().withColumn("uid", F.monotonically_increasing_id()))
+        enc = cut_lineage(ratings.join(items, "product_id").join(users, "user_id").select(
+            F.col("uid").alias("user_id"), F.col("iid").alias("product_id"), "r"))
+        sim = item_similarity(enc, block_rows, min_support)
+        return cls(ratings, items, cut_lineage(neighbour_table(sim, enc)))
+
+    def _decoded(self, pairs: DataFrame) -> DataFrame:
+        name = self.items.select(F.col("product_id").alias("__n"), "iid")
+        return (pairs.join(name.withColumnsRenamed({"__n": "__i", "iid": "__ii"}), F.col("item_i") == F.col("__ii"))
+                .join(name.withColumnsRenamed({"__n": "__j", "iid": "__jj"}), F.col("item_j") == F.col("__jj"))
+                .select(F.col("__i").alias("item_i"), F.col("__j").alias("item_j"), "sim"))
+
+    @property
+    def neighbours(self) -> DataFrame:
+        return self._decoded(self.neighbours_enc)
+
+    @property
+    def similarity(self) -> DataFrame:
+        return self._decoded(self.neighbours_enc.where("item_i < item_j"))
 
     def known_users(self) -> DataFrame:
         return self.ratings.select("user_id").distinct()
@@ -196,14 +193,14 @@ class CollaborativeModel:
 
     def recommend(self, catalog: DataFrame, top_k: int = 10, users: DataFrame | None = None,
                   method: str = "tiled") -> DataFrame:
-        if method != "tiled":
-            return recommend_collaborative(self.ratings, self.neighbours, catalog, top_k, users, method)
+        """Top-k unrated items per known user (all, or those in ``users``).
+
+        ``method="tiled"`` uses the blocked NumPy product (``cf_blocks``), ``"relational"`` the
+        join + aggregate plan; both give the same rows."""
         r = self.ratings if users is None else self.ratings.join(
             users.select(norm_id("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
-        cand = tiled_scores(r, self.neighbours_enc, self.items, top_n=top_k).drop("kind")
-        top = rank_within(cand, "user_id", "predicted_score", top_k)
-        out = enrich_with_catalog(top, catalog)
-        return out.select(
-            "user_id", "rank", "product_id", "product_name", "category", "price", "rating", "predicted_score",
-            F.concat(F.lit(EXPLAIN_COLLAB_PREFIX), F.col("user_id")).alias("explanation"),
-            F.lit(METHOD_COLLAB).alias("recommendation_method"))
+        if method == "tiled":
+            cand = tiled_scores(r, self.neighbours_enc, self.items, top_n=top_k).drop("kind")
+        else:
+            cand = unrated_predictions(r, predict_scores(r, self.neighbours))
+        return decorate(rank_within(cand, "user_id", "predicted_score", top_k), catalog)

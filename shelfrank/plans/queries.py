@@ -430,7 +430,7 @@ def q_health_summary(spark, d):
         T.catalog(spark, d).agg(F.count(F.lit(1)).alias("catalog_products")),
         T.interactions(spark, d).agg(F.count(F.lit(1)).alias("interactions")),
         m.ratings.agg(F.count(F.lit(1)).alias("rated_pairs"), F.count_distinct("user_id").alias("known_users")),
-        m.neighbours.where("item_i < item_j").agg(F.count(F.lit(1)).alias("similar_item_pairs")),
+        m.neighbours_enc.where("item_i < item_j").agg(F.count(F.lit(1)).alias("similar_item_pairs")),
         post.agg(F.count(F.lit(1)).alias("tfidf_postings"), F.count_distinct("term").alias("vocabulary_terms")),
         T.vectors(spark, d).agg(F.count(F.lit(1)).alias("vector_products")),
     ]
