@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Dat
     keyed = _keyed(docs).where(F.octet_length("text") >= LENGTH)
     found = stash(keyed.mapInArrow(_sample_task, "k1 long, k2 long, h long, v long, run long"))
     place = F.xxhash64("k1", "k2", "v")
-    named = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select(F.col("h").alias("r_h"))
+    # written, so that the join reads it through a shuffle and a hot name's partition can be split
+    named = stash(found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select(F.col("h").alias("r_h")))
     again = stash(found.join(named, found.h == named.r_h, "left_semi").groupBy("k1", "k2", "v").agg(
         F.first("h").alias("h"), F.first("run").alias("run")))  # copies of a text add nothing
 
