@@ -11,9 +11,23 @@ from pyspark.sql import functions as F
 from shelfrank.session import ensure_checkpoint_dir, ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the data folder; also makes the package importable on workers."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on workers and bound what a Python worker holds at once.
+
+    Spark's default of 10,000 rows a batch is a lot for whole texts; a session that sets its own
+    number keeps it.
+    """
     ship_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of the data folder, in a prepared session."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
