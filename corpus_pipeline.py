@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from shelfrank.llm.common import stash, table
+from shelfrank.llm.common import prepare, stash, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every group of linked fingerprints."""
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take every 200-byte string that starts more than once out of the texts."""
+    prepare(spark)
     return suffix_dedup.strip(docs)
 
 
@@ -37,6 +39,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the token ids of what is left into sequences."""
+    prepare(spark)
     return packing.pack(docs, packing.tokenizer_paths())
 
 
