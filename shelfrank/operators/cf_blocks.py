@@ -35,6 +35,7 @@ from ..functions.rounding import EXCLUDED, round_units, top_cells
 OUT_SCHEMA = "user_id string, iid long, pred double, kind int"
 TOP, WANT = 0, 1
 _CHUNK_CELLS = 4_000_000  # dense cells per user chunk inside a tile
+_GATHER_SLICE = 8_000_000  # products gathered at once
 
 
 def _empty() -> pd.DataFrame:
@@ -82,20 +83,24 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
         for a in range(0, nu, chunk):
             b = min(nu, a + chunk)
             cu = b - a
-            sel = (u_rated >= a) & (u_rated < b) & (r_j >= 0)
-            lens = counts[r_j[sel]]
-            tot = int(lens.sum())
+            own = np.flatnonzero((u_rated >= a) & (u_rated < b) & (r_j >= 0))
             num = np.zeros(cu * ni)
             den = np.zeros(cu * ni) if mode == "cf" else None
-            if tot:
-                rep = np.repeat(np.arange(int(sel.sum())), lens)
-                starts = offs[r_j[sel]]
-                pos = np.arange(tot) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(starts, lens)
-                cell = (u_rated[sel] - a)[rep] * ni + s_i[pos]
+            # the gathered products are added in slices: neither a hot user nor a hot item sets the memory
+            lens = counts[r_j[own]]
+            cuts = np.searchsorted(np.cumsum(lens), np.arange(_GATHER_SLICE, int(lens.sum()) + 1, _GATHER_SLICE))
+            for part in np.split(own, np.unique(cuts)):
+                n = counts[r_j[part]]
+                tot = int(n.sum())
+                if not tot:
+                    continue
+                rep = np.repeat(np.arange(len(part)), n)
+                pos = np.arange(tot) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offs[r_j[part]], n)
+                cell = (u_rated[part] - a)[rep] * ni + s_i[pos]
                 sv = s_v[pos]
-                num = np.bincount(cell, weights=sv * r_val[sel][rep], minlength=cu * ni)
+                num += np.bincount(cell, weights=sv * r_val[part][rep], minlength=cu * ni)
                 if mode == "cf":
-                    den = np.bincount(cell, weights=np.abs(sv), minlength=cu * ni)
+                    den += np.bincount(cell, weights=np.abs(sv), minlength=cu * ni)
             if mode == "dot":
                 pred = num.reshape(cu, ni)
             else:

@@ -149,6 +149,24 @@ def test_tiles_do_not_change_the_answer(spark, sf_dir):
     assert got[0] == got[1]
 
 
+def test_gather_slices_do_not_change_the_answer():
+    import pandas as pd
+    from shelfrank.operators import cf_blocks
+    r = np.random.default_rng(2)
+    # user 0 holds a third of the ratings, item 0 is similar to everything
+    left = pd.DataFrame({"user_id": ["u0"] * 40 + [f"u{1 + k % 20}" for k in range(80)], "item": [*range(40), *r.integers(0, 60, 80)],
+                         "r": 1.0 + r.integers(0, 5, 120), "kind": 0}).drop_duplicates(["user_id", "item"])
+    pairs = {(0, i) for i in range(60)} | {tuple(map(int, r.integers(0, 60, 2))) for _ in range(900)}
+    right = pd.DataFrame(sorted(pairs), columns=["item_j", "item_i"]).assign(sim=r.random(len(pairs)))
+    whole = cf_blocks._tile_kernel(5)((0, 0), left, right)
+    cf_blocks._GATHER_SLICE = 50
+    try:
+        sliced = cf_blocks._tile_kernel(5)((0, 0), left, right)
+    finally:
+        cf_blocks._GATHER_SLICE = 8_000_000
+    assert (whole[["user_id", "iid"]] == sliced[["user_id", "iid"]]).all().all() and np.allclose(whole.pred, sliced.pred)
+
+
 def test_grid_copies_grow_with_the_square_root():
     from shelfrank.operators.cf_blocks import TILE_GATHER, block_counts
     small = block_counts(10**6, 10**4, 10**6, 10**4, 16 * TILE_GATHER)
