@@ -137,7 +137,7 @@ _TOGGLES = (f"(SELECT * FROM {_cfg_values(IMAGE_TOGGLE_CONFIGS, 'image_compariso
             f"UNION ALL SELECT * FROM {_cfg_values(NLP_TOGGLE_CONFIGS, 'nlp_comparison')})")
 ORACLE["signal_toggles"] = seeded_sql(_TOGGLES, _keys(True)) + report_sql(_keys(True))
 
-ORACLE["metrics_unpivot"] = seeded_sql(_cfg_values(SENSITIVITY_CONFIGS), _keys(False)) + \
+ORACLE["metrics_unpivot"] = seeded_sql(_cfg_values({**SENSITIVITY_CONFIGS, **ABLATION_CONFIGS}), _keys(False)) + \
     ", rep AS (" + report_sql(_keys(False)) + """)
 SELECT configuration, 'P@K_Mean' AS metric, "P@K_Mean" AS score FROM rep
 UNION ALL SELECT configuration, 'R@K_Mean', "R@K_Mean" FROM rep

@@ -387,7 +387,9 @@ def q_signal_toggles(spark, d):
 
 @register("metrics_unpivot")
 def q_metrics_unpivot(spark, d):
-    return evaluate.melt_report(evaluate.multi_seed_report(_seed_eval(spark, d, SENSITIVITY_CONFIGS), 5))
+    """All ablation and sensitivity means, one row per configuration and metric."""
+    reports = (evaluate.multi_seed_report(_seed_eval(spark, d, c), 5) for c in (ABLATION_CONFIGS, SENSITIVITY_CONFIGS))
+    return evaluate.melt_report(evaluate.union_reports(*reports))
 
 
 # ---------------------------------------------------------------- browse & lookup
