@@ -138,6 +138,15 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(own.where("false")).count() == 0
 
 
+def test_blocks_of_broken_markup():
+    got = [(b.path, b.text) for b in blocks_of('<p title="a>b" data-x=it\'s>One</p><div class="x\'y">Two<p>Three <a href=\'q>\'>l</a><li>F')]
+    assert got == [(("p",), "One"), (("div", "class=x", "class=y"), "Two"), (("div", "class=x", "class=y", "p"), "Three l"),
+                   (("div", "class=x", "class=y", "p", "li"), "F")]
+    assert [b.text for b in blocks_of("a < b &lt; c &amp d <!-- no <p>x")] == ["a < b < c & d"]
+    assert [b.text for b in blocks_of("<p>x</p><a " + 'b="c" ' * 5_000)] == ["x"]
+    assert blocks_of("<script>" + "<p>y</p>" * 10_000) == []
+
+
 def test_lstm_gradients():
     pages = [html_extract.Page(blocks_of(PAGE), {}), html_extract.Page(blocks_of(PAGE)[:4], {})]
     m = html_extract.Labeller()
