@@ -159,15 +159,16 @@ class Model:
         found = [(a, b, self.lam * s - size) for a, b, s in segments(scores)]
         return len(words), [p for p in found if p[2] >= -math.log(self.max_e)]
 
-    def statistics(self, text: str | None) -> tuple[float, float, float]:
-        n, found = self.passages(text)
+    @staticmethod
+    def statistics(n: int, found: list) -> tuple[float, float, float]:
+        """What the curve reads of a text's tokens and passages."""
         values = [p[2] for p in found]
         return (math.log1p(max(values, default=0.0)), math.log1p(sum(values)), sum(values) / math.sqrt(n + 20.0))
 
-    def score(self, text: str | None) -> float:
+    def score(self, n: int, found: list) -> float:
         if not self.lexicon:
             return 0.0
-        x = self.statistics(text)
+        x = self.statistics(n, found)
         z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -217,7 +218,7 @@ def _spectrum_task(lexicon):
 def _statistics_task(model):
     def run(batches):
         for batch in batches:
-            rows = [model.statistics(t) for t in batch.column(0).to_pylist()]
+            rows = [model.statistics(*model.passages(t)) for t in batch.column(0).to_pylist()]
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in cols), batch.column(1)],
                                              names=["a", "b", "c", "y"])
@@ -244,8 +245,8 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
 def _score_task(model):
     def run(batches):
         for batch in batches:
-            found = [model.passages(t)[1] for t in batch.column(1).to_pylist()]
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
+            read = [model.passages(t) for t in batch.column(1).to_pylist()]
+            found, scores = [r[1] for r in read], [model.score(*r) for r in read]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()),
                  pa.array([[{"first_token": a, "end_token": b, "evidence": s} for a, b, s in f] for f in found], _PASSAGES)],
@@ -270,6 +271,6 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index("text")
-            keep = [model.score(t) < threshold for t in batch.column(at).to_pylist()]
+            keep = [model.score(*model.passages(t)) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return docs.select(names).mapInArrow(run, docs.schema)
