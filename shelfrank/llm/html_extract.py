@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .html_blocks import Block, blocks_of
 
 SAMPLE = 200  # pages the labeller is trained on, at most
@@ -270,9 +271,9 @@ def varied(page: str, others: list[str], r: np.random.Generator) -> str:
 
 
 def train_labeller(pages: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Labeller | None:
-    """Fit on at most ``sample`` pages (the lowest hashes of the html), each also varied."""
-    rows = (pages.select(F.col("html").cast("string").alias("html")).where(F.length("html").between(1, 40_000))
-            .orderBy(F.xxhash64("html"), "html").limit(sample).collect())
+    """Fit on at most ``sample`` pages (low hashes of the html), each also varied."""
+    usable = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html").between(1, 40_000))
+    rows = sorted(hashed_sample(usable, F.col("html"), sample).collect(), key=lambda r: r["html"])
     if not rows:
         return None
     r, cache = np.random.default_rng(seed), {}

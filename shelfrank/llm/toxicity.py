@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, hashed_sample
 
 SAMPLE = 40_000  # labelled training rows the lexicon and the curve are fitted on, at most
 LEXICON = 20_000  # features kept, at most
@@ -74,8 +74,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, mod: int = 5)
     """``text, toxic`` of at most ``sample`` labelled rows outside the held-out fold."""
     lab = (labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
            .where(F.col("l_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod(F.col("l_id"), mod) != 0))
-           .groupBy("l_id").agg(F.max("toxic").alias("toxic"))
-           .orderBy(F.xxhash64("l_id"), "l_id").limit(sample))
+           .groupBy("l_id").agg(F.max("toxic").alias("toxic")))
+    lab = hashed_sample(lab, F.col("l_id"), sample)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.join(F.broadcast(lab), src.doc_id == lab.l_id).select("text", "toxic")  # at most ``sample`` label rows
 
