@@ -11,7 +11,6 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 
 SCALE = 10_000
-EXCLUDED = np.iinfo(np.int64).min
 
 
 def round_units(x: np.ndarray) -> np.ndarray:
@@ -26,17 +25,21 @@ def round_units(x: np.ndarray) -> np.ndarray:
     return units
 
 
-def top_cells(units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of the ``k`` highest units of every row, ties to the smaller column.
+def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``k`` highest rounded scores of every row, ties to the smaller column.
 
-    Cells marked ``EXCLUDED`` never qualify.
+    ``-inf`` never qualifies; with ``positive`` neither does a score that rounds to 0 or less. Only cells
+    within one unit of a row's k-th raw score can be among its k highest rounded ones, so only they are rounded.
     """
-    k = min(k, units.shape[1])
-    kth = np.partition(units, units.shape[1] - k, axis=1)[:, units.shape[1] - k]
-    rows, cols = np.nonzero((units >= kth[:, None]) & (units != EXCLUDED))
+    k = min(k, scores.shape[1])
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    rows, cols = np.nonzero((scores >= (kth - 1.01 / SCALE)[:, None]) & (scores > (0.0 if positive else -np.inf)))
+    units = round_units(scores[rows, cols])
+    if positive:
+        rows, cols, units = rows[units > 0], cols[units > 0], units[units > 0]
     if not len(rows):
         return rows, cols
-    order = np.lexsort((cols, -units[rows, cols], rows))
+    order = np.lexsort((cols, -units, rows))
     rows, cols = rows[order], cols[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))

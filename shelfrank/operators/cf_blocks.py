@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import EXCLUDED, round_units, top_cells
+from ..functions.rounding import top_cells
 
 OUT_SCHEMA = "user_id string, iid long, pred double, kind int"
 TOP, WANT = 0, 1
@@ -115,16 +115,14 @@ def _tile_kernel(top_n: int | None, mode: str = "cf", exclude: str = "rated"):
                 out_s.append(wv)
                 out_k.append(np.full(int(wsel.sum()), WANT, np.int32))
             if top_n:
-                units = round_units(pred)  # the final ranking's rounding rule
                 if exclude == "self":
                     own = name_index.get_indexer(users[a:b])
                     hit = own >= 0
-                    units[np.flatnonzero(hit), own[hit]] = EXCLUDED
+                    pred[np.flatnonzero(hit), own[hit]] = -np.inf
                 else:
                     xsel = (u_rated >= a) & (u_rated < b) & (r_excl >= 0)
-                    units[u_rated[xsel] - a, r_excl[xsel]] = EXCLUDED  # positively rated items
-                units[units <= 0] = EXCLUDED  # only positive rounded predictions qualify
-                uu, ii = top_cells(units, top_n)
+                    pred[u_rated[xsel] - a, r_excl[xsel]] = -np.inf  # positively rated items
+                uu, ii = top_cells(pred, top_n, positive=True)  # the final ranking's rounding rule
                 if len(uu):
                     out_u.append(users[uu + a])
                     out_p.append(items[ii])

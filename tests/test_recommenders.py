@@ -128,8 +128,15 @@ def test_partial_lists_round_like_spark(spark):
     x = [3.03125, 3.0312, -3.03125, 0.00005, 0.00004, 2.9999999999999996, 1 / 3, -0.5, 0.12345, 0.123450000001]
     want = [round(r[0] * 10_000) for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 4)).collect()]
     assert round_units(np.array(x)).tolist() == want
-    rows, cols = top_cells(round_units(np.array([[3.0312, 3.03125, 3.0], [1.0, 1.0, 1.0]])), 1)
-    assert cols.tolist() == [1, 0]
+    rows, cols = top_cells(np.array([[3.0312, 3.03125, 3.0], [1.0, 1.0, 1.0], [-np.inf, 0.00004, -1.0]]), 1)
+    assert (rows.tolist(), cols.tolist()) == ([0, 1, 2], [1, 0, 1])
+    assert top_cells(np.array([[-np.inf, 0.00004, -1.0]]), 1, positive=True)[0].tolist() == []
+    rng = np.random.default_rng(8)
+    s = np.round(rng.random((40, 60)), 3) + rng.choice([0, 5e-5, -5e-5, 1e-9], (40, 60))
+    rows, cols = top_cells(s, 7)
+    units = round_units(s)
+    for i in range(40):
+        assert cols[rows == i].tolist() == sorted(range(60), key=lambda j: (-units[i, j], j))[:7]
 
 
 def test_knn_does_not_depend_on_blocks(spark):
