@@ -4,7 +4,8 @@ Per document a few counts are taken from the whole text. Per (lang, source) grou
 a KLL sketch of every ratio is built (partial sketches per task, merged after the
 shuffle); a group's fence is its upper quartile plus ``spread`` times its
 interquartile range, never below a small floor so that a uniform group does not
-reject its own ordinary documents. Groups under ``min_group`` documents use the sketch of
+reject its own ordinary documents. On the given data the floors decide every row (README,
+with the verdicts of fences without them). Groups under ``min_group`` documents use the sketch of
 their language, merged from the group sketches. The fences are joined back to the documents.
 
 Defined cases: a null or empty text has no words (base_failed); null lang or
