@@ -28,14 +28,21 @@ from .common import stash
 LENGTH = 1024
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+SPACE_STEP = 100_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, window long, task long")
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def long_space(text: str) -> bool:
+    """Whether a whole step of ``SPACE_STEP`` characters is white space, as in every run of twice that."""
+    return any(text[at:at + SPACE_STEP].isspace() for at in range(0, len(text) - SPACE_STEP + 1, SPACE_STEP))
+
+
 class Encoder:
     """Ids of the tokenizer file. ``tiktoken`` runs the same vocabulary some four times
-    faster; texts that hold the special string go through ``tokenizers`` itself."""
+    faster; texts that hold the special string or a long white-space run (its pattern engine
+    runs out of stack between 0.9 and 1 million) go through ``tokenizers`` itself."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import base64
@@ -49,7 +56,7 @@ class Encoder:
     def __call__(self, text: str | None) -> list[int]:
         if not text:
             return [END_ID]
-        if SPECIAL in text:
+        if SPECIAL in text or long_space(text):
             if self.whole is None:
                 from tokenizers import Tokenizer
                 self.whole = Tokenizer.from_file(self.json_path)

@@ -383,6 +383,16 @@ def test_fast_ids_equal_tokenizers(spark):
         assert enc(r[0]) == [*tok.encode(r[0], add_special_tokens=False).ids, 0]
 
 
+def test_long_white_space_runs(spark):
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(packing.tokenizer_paths()[0]), packing.Encoder(*packing.tokenizer_paths())
+    runs = ["\n" * 1_200_000, "a" + "\u00a0\n \t" * 300_001 + "b", "x " * 60_000 + " " * 1_050_000 + "y", " " * 199_999]
+    for t in runs:
+        assert enc(t) == [*tok.encode(t, add_special_tokens=False).ids, 0]
+    docs = spark.createDataFrame([(1, runs[0]), (2, "end")], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack(docs, packing.tokenizer_paths()).collect()} == {1, 2}
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 def test_lm_base_and_probability(spark):
