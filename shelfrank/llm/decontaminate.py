@@ -3,9 +3,11 @@
 A document window of as many words as a benchmark item leaks it when the weighted Jaccard
 similarity of their 5-word shingles (weights: multiplicities) is 0.8 or more. With W shingles on
 both sides that needs at least 8/9 W common ones, so any W/9 + 1 of an item's shingles (here
-those with the longest first words) must meet the window: the words of every document are looked
-up among these first words, and where the whole shingle agrees, the item-sized windows around
-that place are taken. Their SimHash fingerprints meet the item's through multi-index
+those with the longest first words) must meet the window; a document shorter than the item may miss
+W/5, and is held against W/5 + 1. The words of every document are looked up among these first words,
+and where the whole shingle agrees, every item-sized window that holds it is looked at: the
+similarity ignores order, so the shingle may stand anywhere in it. Windows with too few shingles of
+the item to reach the similarity go; the SimHash fingerprints of the others meet the item's through multi-index
 blocks: ``radius`` + 1 blocks, so that two fingerprints within ``radius`` bits agree in at least one
 (pigeonhole). The pairs within ``radius`` are verified by exact weighted-shingle similarity.
 
@@ -72,68 +74,87 @@ def similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """One row per item: words, shingle hashes, fingerprint and how far a window may be shifted."""
+def items(benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """One row per item: words, shingle hashes, fingerprint and how many shingles a window may miss.
+
+    ``slack`` holds for windows of the item's size, ``short_slack`` for shorter documents.
+    """
     w = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("i_words"))
     w = w.where(F.size("i_words") > 0).dropDuplicates()
     w = w.withColumn("i_hashes", shingle_hashes(F.col("i_words")))
-    slack = F.floor(F.size("i_hashes") * F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) + F.lit(1e-9)).cast("int")
-    return w.select("item_id", "i_words", "i_hashes", simhash(F.col("i_hashes")).alias("i_fp"), slack.alias("slack"),
-                    F.size("i_words").alias("i_n"))
+
+    def missing(share):
+        return F.floor(F.size("i_hashes") * F.lit(share) + F.lit(1e-9)).cast("int")
+    return w.select("item_id", F.xxhash64("item_id", "i_words").alias("i_key"), "i_words", "i_hashes",
+                    simhash(F.col("i_hashes")).alias("i_fp"), missing((1 - threshold) / (1 + threshold)).alias("slack"),
+                    missing(1 - threshold).alias("short_slack"), F.size("i_words").alias("i_n"))
 
 
 def probes(it: DataFrame) -> DataFrame:
-    """``slack`` + 1 shingles of every item, those with the longest first words."""
+    """``short_slack`` + 1 shingles of every item, those with the longest first words; the first
+    ``slack`` + 1 of them are for all documents, the others for ``short_only``."""
     ranked = F.array_sort(F.transform("i_hashes", lambda h, i: F.struct(
         (-F.length(F.element_at("i_words", i + 1))).alias("l"), i.alias("at"))))
-    chosen = it.select("item_id", "i_words", "i_n", "slack", F.explode(F.slice(ranked, F.lit(1), F.col("slack") + 1)).alias("p"))
+    chosen = it.select("i_key", "i_words", "i_n", "slack",
+                       F.posexplode(F.slice(ranked, F.lit(1), F.col("short_slack") + 1)).alias("rank", "p"))
     at = F.col("p.at")
-    return chosen.select("item_id", "i_n", "slack", at.alias("at"), F.element_at("i_words", at + 1).alias("first"),
+    return chosen.select("i_key", "i_n", (F.col("rank") > F.col("slack")).alias("short_only"),
+                         F.element_at("i_words", at + 1).alias("first"),
                          F.concat_ws(" ", F.slice("i_words", at + 1, SHINGLE)).alias("shingle"))
 
 
-def windows(docs: DataFrame, probe: DataFrame, n_probes: int) -> DataFrame:
-    """Distinct item-sized windows around every probe hit: ``doc_id, text_key, item_id, start, w``.
+def windows(docs: DataFrame, it: DataFrame, n_probes: int, threshold: float = SIMILARITY) -> DataFrame:
+    """The item-sized windows that hold a probe and enough of the item's shingles:
+    ``doc_id, text_key, i_key, start, hashes``, each once.
 
-    The probes are broadcast in blocks of at most ``BLOCK_PROBES``; the documents' words stay
-    inside one code-generated stage, only hits leave it.
+    The items and their probes are broadcast in blocks of about ``BLOCK_PROBES`` probes; the documents'
+    words stay inside one code-generated stage, only windows leave it.
     """
     src = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("ws", words(F.col("text")))
     passes = max(1, math.ceil(n_probes / BLOCK_PROBES))
     out = None
     for k in range(passes):
-        part = probe if passes == 1 else probe.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(passes)) == k)
+        part = it if passes == 1 else it.where(F.pmod("i_key", F.lit(passes)) == k)
         rows = src.select("doc_id", "text", "ws", F.posexplode("ws").alias("pos", "word"))
-        hit = rows.join(F.broadcast(part), (F.col("word") == F.col("first"))
+        hit = rows.join(F.broadcast(probes(part)), (F.col("word") == F.col("first"))
+                        & (~F.col("short_only") | (F.size("ws") < F.col("i_n")))
                         & (F.concat_ws(" ", F.slice("ws", F.col("pos") + 1, F.least(F.lit(SHINGLE), F.col("i_n")))) == F.col("shingle")))
-        # a document shorter than the item has one window, else starts run over the slack
+        # every start whose window holds the probe; a document shorter than the item has one window
         last = F.greatest(F.size("ws") - F.col("i_n"), F.lit(0))
-        low = F.least(F.greatest(F.col("pos") - F.col("at") - F.col("slack"), F.lit(0)), last)
-        high = F.least(F.greatest(F.col("pos") - F.col("at") + F.col("slack"), F.lit(0)), last)
-        hit = hit.select("doc_id", F.md5("text").alias("text_key"), "item_id", "i_n", low.alias("low"), high.alias("high"),
+        low = F.least(F.greatest(F.col("pos") + F.least(F.lit(SHINGLE), F.col("i_n")) - F.col("i_n"), F.lit(0)), last)
+        high = F.least(F.col("pos"), last)
+        hit = hit.select("doc_id", "text", "i_key", "i_n", low.alias("low"), high.alias("high"),
                          F.slice("ws", low + 1, high - low + F.col("i_n")).alias("ctx"))
-        out = hit if out is None else out.unionByName(hit)
-    spans = out.groupBy("doc_id", "text_key", "item_id", "i_n", "low", "high").agg(F.first("ctx").alias("ctx"))
-    each = spans.select("doc_id", "text_key", "item_id", "i_n", "low", "ctx",
-                        F.explode(F.sequence("low", "high")).alias("start"))
-    return each.select("doc_id", "text_key", "item_id", "start",
-                       F.slice("ctx", F.col("start") - F.col("low") + 1, F.col("i_n")).alias("w"))
+        known = part.select(F.col("i_key").alias("k_key"), "i_hashes")
+        hit = hit.join(F.broadcast(known), hit.i_key == F.col("k_key"))
+        hit = hit.withColumn("c_hashes", shingle_hashes(F.col("ctx")))
+        size = F.least(F.size("c_hashes"), F.size("i_hashes"))  # shingles of a window
+        shared = F.transform("c_hashes", lambda h: F.array_contains("i_hashes", h).cast("int"))
+        sums = F.aggregate(shared, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        need = F.lit(threshold / (1 + threshold)) * (size + F.size("i_hashes")) - F.lit(1e-9)
+        hit = hit.withColumn("size", size).withColumn("need", need).withColumn("sums", sums)
+        starts = F.filter(F.sequence(F.lit(0), F.col("high") - F.col("low")), lambda s: (
+            F.element_at("sums", s + F.col("size") + 1) - F.element_at("sums", s + 1)) >= F.col("need"))
+        each = hit.select("doc_id", F.md5("text").alias("text_key"), "i_key", "low", "size", "c_hashes", F.explode(starts).alias("s"))
+        each = each.select("doc_id", "text_key", "i_key", (F.col("low") + F.col("s")).alias("start"),
+                           F.slice("c_hashes", F.col("s") + 1, F.col("size")).alias("hashes"))
+        out = each if out is None else out.unionByName(each)
+    return out.groupBy("doc_id", "text_key", "i_key", "start").agg(F.first("hashes").alias("hashes"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_key, item_id, start, similarity, distance``: the best window of every leak."""
-    it = items(benchmark)
-    probe = probes(it)
-    n_probes = probe.count()  # bounds what one pass broadcasts
-    w = windows(docs, probe, n_probes).withColumn("hashes", shingle_hashes(F.col("w")))
-    w = w.select("doc_id", "text_key", "item_id", "start", "hashes", simhash(F.col("hashes")).alias("fp"))
+    it = items(benchmark, threshold)
+    n_probes = it.agg(F.sum(F.col("short_slack") + 1)).first()[0] or 0  # bounds what one pass broadcasts
+    w = windows(docs, it, n_probes, threshold)
+    w = w.select("doc_id", "text_key", "i_key", "start", "hashes", simhash(F.col("hashes")).alias("fp"))
     left = w.withColumn("b", F.explode(blocks(F.col("fp"), radius)))
-    right = it.select(F.col("item_id").alias("r_item"), "i_fp", "i_hashes", F.explode(blocks(F.col("i_fp"), radius)).alias("rb"))
-    pairs = left.join(right, (left.item_id == right.r_item) & (F.col("b.block") == F.col("rb.block"))
+    right = it.select("item_id", F.col("i_key").alias("r_key"), "i_fp", "i_hashes", F.explode(blocks(F.col("i_fp"), radius)).alias("rb"))
+    pairs = left.join(right, (left.i_key == right.r_key) & (F.col("b.block") == F.col("rb.block"))
                       & (F.col("b.value") == F.col("rb.value")))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp")))
-    near = pairs.where(apart <= radius).groupBy("doc_id", "text_key", "item_id", "start").agg(
+    near = pairs.where(apart <= radius).groupBy("doc_id", "text_key", "item_id", "i_key", "start").agg(
         F.min(apart).alias("distance"), F.first("hashes").alias("hashes"), F.first("i_hashes").alias("i_hashes"))
     scored = near.withColumn("similarity", similarity(F.col("hashes"), F.col("i_hashes"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "text_key", "item_id").agg(

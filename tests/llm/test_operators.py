@@ -276,6 +276,26 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_any_order_and_short_documents(spark):
+    item = prose(300, 60)
+    w = item.split()
+    halves = " ".join(w[30:] + w[:30])
+    longest = sorted(range(56), key=lambda i: -len(w[i]))[:7]
+    short = " ".join(w[12:]) if max(longest) < 12 else None
+    # cuts that take the seven probes of full windows but at most a fifth of the shingles
+    words60 = ["internationalization" + str(i) if i < 7 else "w" + str(i) for i in range(60)]
+    items = [(1, item), (2, " ".join(words60)), (3, "la " * 30 + "tea for two " * 3)]
+    texts = [halves, prose(320, 50) + " " + halves + " " + prose(321, 50), " ".join(words60[7:]), " ".join(words60[11:]), " ".join(words60[12:]),
+             prose(322, 20) + " " + " ".join(words60[7:]), "tea for two " * 3 + "la " * 30 + prose(323, 40),
+             prose(324, 70) + " " + " ".join(w[40:] + w[20:40] + w[:20]), short]
+    docs = odd_docs(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = brute_leaks(rows_of(docs), items)
+    assert {(0, 1), (1, 1), (2, 2), (3, 2)} <= want.keys()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_probe_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_PROBES", 4)
     item = prose(300, 60)
