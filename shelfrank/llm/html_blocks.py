@@ -1,7 +1,8 @@
 """Leaf blocks of an HTML page: tag path, text, links.
 
 A block is the text between two block-level tags; inline tags do not end it and
-``br`` is white space. Scripts, styles and the head are markup, not blocks. Tags that the
+``br`` is white space. Scripts, styles and the title are markup, not blocks; other text ends the head,
+as in browsers. Drawings, select lists, ``noscript`` and ``template`` go if they are closed. Tags that the
 page leaves open are closed as browsers do for paragraphs, list items and table parts.
 """
 
@@ -12,9 +13,13 @@ import re
 from typing import NamedTuple
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr br img".split())
+                   "strong sub sup time tt u var wbr br img "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub "
+                   "msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics maction".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style textarea title iframe".split())  # up to the end tag or the end of the page
+HIDDEN = frozenset("noscript template svg select annotation annotation-xml".split())  # up to the end tag, if there is one
+FOREIGN = frozenset("svg annotation annotation-xml".split())  # "/>" closes them
 # an opening tag that ends an open one of these
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -33,6 +38,25 @@ class Block(NamedTuple):
     linked: int  # characters inside links
 
 
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
+# tags of HTML that end a drawing left open
+_HTML_TAG = re.compile(r"<(?:/?(?:body|article|main|section)|p|div|h[1-6]|ul|ol|table|blockquote|pre)(?=[\s/>])|</svg(?=[\s/>])[^>]*>", re.I)
+
+
+def _hidden_end(page: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Where the page goes on after a hidden tag that opened before ``at``: at once if nothing closes it."""
+    if tag in unclosed:
+        return at
+    end = (_HTML_TAG if tag == "svg" else _end_tag(tag)).search(page, at)
+    if not end:
+        unclosed.add(tag)
+        return at
+    return end.end() if end[0].startswith("</") and end[0][2:2 + len(tag)].lower() == tag else end.start()
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page in order; null and empty pages have none."""
     if not page:
@@ -41,14 +65,14 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
     linked = link_depth = 0
-    in_head = False
+    unclosed: set[str] = set()  # hidden tags without an end tag in the rest of the page
     path: tuple = ()
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not in_head:
+            if text:
                 out.append(Block(path, text, linked))
             parts.clear()
         linked = 0
@@ -67,24 +91,27 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if not closing and tag in FOREIGN and m[3].endswith("/"):
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 link_depth = 0 if closing else 1
             continue
+        if tag in FOREIGN - {"svg"}:  # inside a formula
+            at = _hidden_end(page, tag, at, unclosed) if not closing else at
+            continue
         flush()
         link_depth = 0
         if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = _end_tag(tag).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag == "head":
-            in_head = not closing
+        if tag in HIDDEN:
+            at = _hidden_end(page, tag, at, unclosed) if not closing else at
             continue
-        if tag == "body":
-            in_head = False
-        if tag in ("html", "body") or tag in VOID:
+        if tag in ("html", "head", "body") or tag in VOID:
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):

@@ -147,6 +147,22 @@ def test_blocks_of_broken_markup():
     assert blocks_of("<script>" + "<p>y</p>" * 10_000) == []
 
 
+def test_blocks_keep_article_text():
+    def texts(page):
+        return [b.text for b in blocks_of(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><article><p>One</p>two</article>") == ["One", "two"]
+    assert texts("<head><style>s</style>bare<p>One") == ["bare", "One"]
+    assert texts("<head><title>t</title></head><body><p>One") == ["One"]
+    assert texts("<p>a <svg width=1 /> b</p><p>c</p><svg><path/><text>no</text></svg><p>d") == ["a b", "c", "d"]
+    assert texts("<p>a</p><svg><path d='x'><p>b</p><svg><g></svg><p>c") == ["a", "b", "c"]
+    assert texts("<p>with <math><msup><mi>x</mi><mn>2</mn></msup></math> and <math/> on</p><p>b") == ["with x2 and on", "b"]
+    assert texts("<math><mi>y</mi><annotation encoding=tex>y</annotation></math><p>b") == ["y", "b"]
+    assert texts("<object data=x><p>fall back</p></object><p>b") == ["fall back", "b"]
+    for tag in ("select", "noscript", "template"):
+        assert texts(f"<p>a</p><{tag}><b>no</b></{tag}><p>b</p><{tag}><p>c") == ["a", "b", "c"]
+    assert texts("<p>x</p>" + "<template><svg>" * 20_000 + "<p>y") == ["x", "y"]
+
+
 def test_lstm_gradients():
     pages = [html_extract.Page(blocks_of(PAGE), {}), html_extract.Page(blocks_of(PAGE)[:4], {})]
     m = html_extract.Labeller()
