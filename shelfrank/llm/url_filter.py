@@ -55,7 +55,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def compile_rules(base, patterns) -> list[tuple]:
     """(rank, rule name or None, verdict, tokens, regex); the highest rank wins."""
-    out = [((1, len(host + path)), host + path, verdict, set(re.split(SEPARATORS, host + path)) - {""},
+    # a path may go on where the rule ends, so its last token counts only if a separator closes it
+    out = [((1, len(host + path)), host + path, verdict,
+            {*re.split(SEPARATORS, host), *re.split(SEPARATORS, path)[:-1]} - {""},
             rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}") for verdict, host, path in base]
     out += [((0, len(rx)), None, verdict, set(tokens), rx) for verdict, tokens, rx in patterns]
     if len(out) > MAX_RULES:

@@ -383,6 +383,14 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_rule_that_ends_inside_a_word(spark):
+    urls = ["https://example.com/products/1", "https://example.com/prod", "https://example.com/pro", "https://example.com/a/bc", "https://x.org/prod"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    base = [("block", "example.com", "/prod"), ("block", "example.com", "/a/b")]
+    got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(pages, base).collect()}
+    assert got == {0: "example.com/prod", 1: "example.com/prod", 2: None, 3: "example.com/a/b", 4: None}
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
