@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import END, MARKS, PROBE_TEXT, ROLE_CLOSE, ROLE_OPEN
 from .url_filter import BASE_RULES, PATTERN_RULES
 
 #: Every 200-byte string of every document, as hex; the ones that occur twice cover bytes.
@@ -46,4 +47,52 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {block} THEN 'bloc
 FROM p LEFT JOIN best USING (r)"""
 
 
-ORACLES = {"op1_suffix_dedup": OP1, "op7_url_filter": op7()}
+def op12() -> str:
+    """Digests of the turns as given; the formatted length from the template and the escaped texts."""
+    def escaped(col):
+        angle = rf"regexp_replace({col}, '(<)(\\*(?:</?SYS>>|/?s>|\|endoftext\|>))', '\1\\\2', 'g')"
+        return rf"regexp_replace({angle}, '(\[)(\\*(?:/?INST\]|/?ROLE\]|END\]))', '\1\\\2', 'g')"
+    widths = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in MARKS.items())
+    other = len(ROLE_OPEN + ROLE_CLOSE + END)
+    return f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{PROBE_TEXT}'), (-7, 1, 'assistant', '{PROBE_TEXT}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({escaped('text')}) + CASE role {widths} ELSE {other} + length({escaped('role')}) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+#: crc32 bit by bit over the UTF-8 bytes; near words by shared remainders of a deletion.
+OP13 = """WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS h FROM r),
+c AS (SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(4 * length(h)), lambda i: (('0x' || substr(h, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS crc FROM h),
+w AS (SELECT CASE WHEN crc % 199 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM c),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, unnest(range(length(word))) AS i FROM v),
+x AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM p),
+near AS (
+  SELECT a.word, b.word AS other FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+best AS (
+  SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS k
+  FROM near JOIN v ON v.word = other),
+told AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+path AS (
+  SELECT word, word AS at, form AS next FROM told
+  UNION ALL SELECT path.word, told.word, told.form FROM path JOIN told ON told.word = path.next)
+SELECT told.word, told.form, path.at AS root, told.n, told.n_near, told.form_n
+FROM told JOIN path ON path.word = told.word AND path.next IS NULL"""
+
+
+ORACLES = {"op1_suffix_dedup": OP1, "op7_url_filter": op7(), "op12_chat_formatting": op12(), "op13_spelling_variants": OP13}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_extract, license_scan, lm_score, packing, periodic_runs, quality,
-               simhash, suffix_dedup, toxicity, url_filter)
+from . import (chat_format, decontaminate, html_extract, license_scan, lm_score, packing, periodic_runs, quality,
+               simhash, spelling, suffix_dedup, toxicity, url_filter)
 from .common import crc_mod, table
 from .oracle import ORACLES  # noqa: F401  (registered with the queries)
 
@@ -61,7 +61,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.report(convs, packing.tokenizer_paths())
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_html_extraction,
     op4_simhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_url_filter, op8_packing, op9_lm_scoring, op10_toxicity,
-    op11_periodic_runs)}
+    op11_periodic_runs, op12_chat_formatting, op13_spelling_variants)}
