@@ -11,6 +11,8 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 
 SCALE = 10_000
+#: A raw score this far below another one may still round to the same value.
+SLACK = 1.01 / SCALE
 
 
 def round_units(x: np.ndarray) -> np.ndarray:
@@ -25,22 +27,40 @@ def round_units(x: np.ndarray) -> np.ndarray:
     return units
 
 
-def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def rank_cells(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k, positive: bool = False) -> np.ndarray:
+    """Which of the scattered cells are among their row's ``k`` (a number, or one per row) highest rounded
+    scores, ties to the smaller column; in row and rank order. With ``positive`` only scores that round above 0."""
+    units = round_units(scores)
+    at = np.flatnonzero(units > 0) if positive else np.arange(len(units))
+    if not len(at):
+        return at
+    at = at[np.lexsort((cols[at], -units[at], rows[at]))]
+    own = rows[at]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    return at[rank < (k if np.ndim(k) == 0 else np.asarray(k)[own])]
+
+
+def kth_best(scores: np.ndarray, k) -> np.ndarray:
+    """Every row's k-th highest score; ``k`` is a number or one per row (0: infinite)."""
+    width = scores.shape[1]
+    k = np.minimum(np.broadcast_to(np.asarray(k), len(scores)), width)
+    out = np.full(len(scores), np.inf)
+    for n in np.unique(k[k > 0]):
+        own = k == n
+        part = scores if own.all() else scores[own]
+        out[own] = np.partition(part, width - n, axis=1)[:, width - n]
+    return out
+
+
+def top_cells(scores: np.ndarray, k, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of the ``k`` highest rounded scores of every row, ties to the smaller column.
 
-    ``-inf`` never qualifies; with ``positive`` neither does a score that rounds to 0 or less. Only cells
-    within one unit of a row's k-th raw score can be among its k highest rounded ones, so only they are rounded.
+    ``k`` is a number or one per row. ``-inf`` never qualifies; with ``positive`` neither does a score that rounds to 0
+    or less. Only cells within one unit of a row's k-th raw score can be among its k highest rounded ones, so only they
+    are rounded.
     """
-    k = min(k, scores.shape[1])
-    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero((scores >= (kth - 1.01 / SCALE)[:, None]) & (scores > (0.0 if positive else -np.inf)))
-    units = round_units(scores[rows, cols])
-    if positive:
-        rows, cols, units = rows[units > 0], cols[units > 0], units[units > 0]
-    if not len(rows):
-        return rows, cols
-    order = np.lexsort((cols, -units, rows))
-    rows, cols = rows[order], cols[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-    return rows[rank < k], cols[rank < k]
+    kth = kth_best(scores, k)
+    rows, cols = np.nonzero((scores >= (kth - SLACK)[:, None]) & (scores > (0.0 if positive else -np.inf)))
+    keep = rank_cells(rows, cols, scores[rows, cols], k, positive)
+    return rows[keep], cols[keep]

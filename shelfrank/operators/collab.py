@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_id
 from ..session import cut_lineage
 from ..schemas import EXPLAIN_COLLAB_PREFIX, METHOD_COLLAB
+from .bounded_join import nearest_rows
 from .cf_blocks import item_dictionary, tiled_scores
 from .pairs import DEFAULT_BLOCK_ROWS, co_occurrence, mirror
 
@@ -62,6 +63,22 @@ def item_similarity(ratings: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
     return sim.where(F.col("sim") != 0)
 
 
+def top_neighbours(ratings: DataFrame, top_n: int) -> DataFrame:
+    """``(item_i, item_j, sim, rank)``: the ``top_n`` most similar items of every item.
+
+    Items are rows of length 1 over their users, so ``bounded_join`` finds the lists exactly: users with many
+    ratings verify pairs but do not generate them, and no full similarity table is made.
+    """
+    items = cut_lineage(item_dictionary(ratings))
+    norms = item_norms(ratings).where(F.col("norm") > 0)
+    rows = ratings.join(norms, "product_id").join(items, "product_id").select(
+        F.col("iid").alias("row"), F.col("user_id").alias("term"), (F.col("r") / F.col("norm")).alias("w")).where(F.col("w") != 0)
+    near = nearest_rows(cut_lineage(rows), top_n)
+    a = items.select(F.col("iid").alias("row"), F.col("product_id").alias("item_i"))
+    b = items.select(F.col("iid").alias("other"), F.col("product_id").alias("item_j"))
+    return near.join(a, "row").join(b, "other").select("item_i", "item_j", F.round("sim", 4).alias("sim"), "rank")
+
+
 def neighbour_table(sim: DataFrame, ratings: DataFrame) -> DataFrame:
     """Both orientations of ``sim`` plus the unit diagonal of non-zero items:
     ``(item_i, item_j, sim)`` read as "S(item_i, item_j)"."""
@@ -139,14 +156,14 @@ def decorate(top: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 class CollaborativeModel:
-    """Fitted artefacts: ``ratings`` (names), ``items`` (product_id, iid) and
+    """Fitted artefacts: ``ratings`` (names), ``items`` (product_id, iid), ``users`` (user_id, uid) and
     ``neighbours_enc`` (item_j, item_i, sim) on integer ids.
 
     ``similarity`` and ``neighbours`` are the same pairs under product names, decoded when asked for.
     """
 
-    def __init__(self, ratings: DataFrame, items: DataFrame, neighbours_enc: DataFrame):
-        self.ratings, self.items, self.neighbours_enc = ratings, items, neighbours_enc
+    def __init__(self, ratings: DataFrame, items: DataFrame, neighbours_enc: DataFrame, users: DataFrame | None = None):
+        self.ratings, self.items, self.neighbours_enc, self.users = ratings, items, neighbours_enc, users
 
     @classmethod
     def fit(cls, interactions: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS, min_support: int = 1) -> "CollaborativeModel":
@@ -158,7 +175,7 @@ class CollaborativeModel:
         enc = cut_lineage(ratings.join(items, "product_id").join(users, "user_id").select(
             F.col("uid").alias("user_id"), F.col("iid").alias("product_id"), "r"))
         sim = item_similarity(enc, block_rows, min_support)
-        return cls(ratings, items, cut_lineage(neighbour_table(sim, enc)))
+        return cls(ratings, items, cut_lineage(neighbour_table(sim, enc)), users)
 
     def _decoded(self, pairs: DataFrame) -> DataFrame:
         name = self.items.select(F.col("product_id").alias("__n"), "iid")
@@ -182,14 +199,15 @@ class CollaborativeModel:
         every reachable (user, item) through the relational plan."""
         if pairs is not None and method == "tiled":
             return tiled_scores(self.ratings, self.neighbours_enc, self.items,
-                                wants=pairs.select("user_id", "product_id").distinct()) \
+                                wants=pairs.select("user_id", "product_id").distinct(), user_ids=self.users) \
                 .select("user_id", "product_id", "predicted_score")
         return predict_scores(self.ratings, self.neighbours, pairs)
 
     def top_and_scores(self, top_n: int, wants: DataFrame | None, users: DataFrame | None = None) -> DataFrame:
-        """One tiled pass: top-n unrated per user (kind 0) and requested pair
-        scores (kind 1)."""
-        return tiled_scores(self.ratings, self.neighbours_enc, self.items, top_n=top_n, wants=wants, users=users)
+        """One tiled pass: ranked top-n unrated per user (kind 0) and requested pair
+        scores (kind 1). A column ``n`` of ``users`` is every user's own n."""
+        return tiled_scores(self.ratings, self.neighbours_enc, self.items, top_n=top_n, wants=wants, users=users,
+                            user_ids=self.users)
 
     def recommend(self, catalog: DataFrame, top_k: int = 10, users: DataFrame | None = None,
                   method: str = "tiled") -> DataFrame:
@@ -197,10 +215,10 @@ class CollaborativeModel:
 
         ``method="tiled"`` uses the blocked NumPy product (``cf_blocks``), ``"relational"`` the
         join + aggregate plan; both give the same rows."""
-        r = self.ratings if users is None else self.ratings.join(
-            users.select(norm_id("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
+        asked = None if users is None else users.select(norm_id("user_id").alias("user_id")).distinct()
         if method == "tiled":
-            cand = tiled_scores(r, self.neighbours_enc, self.items, top_n=top_k).drop("kind")
+            top = tiled_scores(self.ratings, self.neighbours_enc, self.items, top_n=top_k, users=asked, user_ids=self.users)
         else:
-            cand = unrated_predictions(r, predict_scores(r, self.neighbours))
-        return decorate(rank_within(cand, "user_id", "predicted_score", top_k), catalog)
+            r = self.ratings if asked is None else self.ratings.join(asked, "user_id", "left_semi")
+            top = rank_within(unrated_predictions(r, predict_scores(r, self.neighbours)), "user_id", "predicted_score", top_k)
+        return decorate(top, catalog)

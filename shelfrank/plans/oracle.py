@@ -175,7 +175,7 @@ REQUESTS = """requests AS (
            ELSE 'U' || CAST(c_custkey AS VARCHAR) END END AS user_id,
     CASE WHEN c_custkey % 4 <> 0 THEN 'P' || CAST(c_custkey AS VARCHAR) END AS product_id,
     CASE WHEN c_custkey % 4 >= 2 THEN q.product_name END AS query,
-    CAST(5 + (c_custkey % 3) * 5 AS INTEGER) AS top_k,
+    CAST(CASE WHEN c_custkey % 11 = 5 THEN 40 ELSE 5 + (c_custkey % 3) * 5 END AS INTEGER) AS top_k,
     CASE c_custkey % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.15 WHEN 2 THEN 0.15 WHEN 3 THEN NULL ELSE 0.9 END::DOUBLE
       AS w_content,
     CASE c_custkey % 5 WHEN 0 THEN 0.35 WHEN 1 THEN 0.55 WHEN 2 THEN 0.25 WHEN 3 THEN NULL ELSE 0.9 END::DOUBLE
@@ -305,6 +305,10 @@ ORACLE["ratings_mean"] = with_(INTERACTIONS, cf_ctes()) + "SELECT user_id, produ
 
 ORACLE["item_similarity"] = with_(INTERACTIONS, cf_ctes()) + f"SELECT item_i, item_j, {r4('sim')} AS sim FROM sim"
 
+ORACLE["item_neighbours"] = with_(INTERACTIONS, cf_ctes()) + f"""SELECT item_i, item_j, {r4('sim')} AS sim,
+  row_number() OVER (PARTITION BY item_i ORDER BY {r4('sim')} DESC, item_j) AS rank
+FROM nb WHERE item_i <> item_j QUALIFY rank <= 10"""
+
 ORACLE["similarity_histogram"] = with_(INTERACTIONS, cf_ctes()) + f""", x AS (
   SELECT x FROM (SELECT {r4('sim')} AS x FROM sim) WHERE x < 0.999),
 rng AS (SELECT min(x) AS lo, max(x) AS hi FROM x),

@@ -43,7 +43,9 @@ rq AS (
 
 
 def hybrid_sql(top_k_override: int | None = None, n: int = 30) -> str:
-    """CTE chain ending in ``scored`` (all candidates, fused) and ``ranked``."""
+    """CTE chain ending in ``scored`` (all candidates, fused) and ``ranked``. A request's depth is n or its own top_k."""
+    most = f"(SELECT greatest({n}, max(top_k)) FROM acc)"
+    depth = f"greatest({n}, a.top_k)"
     i_cos = cos("r.v", "x.v", "r.n", "x.n")
     norm = ",\n    ".join(
         f"CASE WHEN max(raw_{s}) OVER w = min(raw_{s}) OVER w THEN (CASE WHEN raw_{s} > 0 THEN 1.0 ELSE 0.0 END) "
@@ -62,35 +64,35 @@ acc AS (
          coalesce(rq.ref_id IN (SELECT product_id FROM vx), false) AS has_image, c.product_name AS ref_name
   FROM rq LEFT JOIN catalog c ON c.product_id = rq.ref_id WHERE rq.code IS NULL),
 refs AS (SELECT DISTINCT ref_id AS product_id FROM acc WHERE ref_id IN (SELECT product_id FROM catalog)),
-{content_top_ctes(n, 'refs')},
+{content_top_ctes(most, 'refs')},
 cf_t AS (
   SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY predicted_score DESC, product_id) AS rk
-  FROM cf_cand QUALIFY rk <= {n}),
+  FROM cf_cand QUALIFY rk <= {most}),
 nlp_t AS (
   SELECT a.request_id, c.product_id,
          row_number() OVER (PARTITION BY a.request_id ORDER BY {r4("coalesce(t.s, 0.0)")} DESC, c.product_id) AS rk
   FROM acc a JOIN catalog c ON true LEFT JOIN tcos t ON t.request_id = a.request_id AND t.product_id = c.product_id
-  WHERE a.query IS NOT NULL QUALIFY rk <= {n}),
+  WHERE a.query IS NOT NULL QUALIFY rk <= {depth}),
 img_t AS (
   SELECT r.product_id AS ref_id, x.product_id,
          row_number() OVER (PARTITION BY r.product_id ORDER BY {r4(i_cos)} DESC, x.product_id) AS rk
   FROM vx r JOIN vx x ON r.product_id <> x.product_id
-  WHERE r.product_id IN (SELECT ref_id FROM acc WHERE has_image) QUALIFY rk <= {n}),
+  WHERE r.product_id IN (SELECT ref_id FROM acc WHERE has_image) QUALIFY rk <= {most}),
 cand0 AS (
-  SELECT a.request_id, t.product_id FROM acc a JOIN cf_t t ON t.user_id = a.user_id WHERE a.is_known
-  UNION SELECT a.request_id, t.product_id FROM acc a JOIN ctop t ON t.target_id = a.ref_id
+  SELECT a.request_id, t.product_id FROM acc a JOIN cf_t t ON t.user_id = a.user_id AND t.rk <= {depth} WHERE a.is_known
+  UNION SELECT a.request_id, t.product_id FROM acc a JOIN ctop t ON t.target_id = a.ref_id AND t.rank <= {depth}
   UNION SELECT request_id, product_id FROM nlp_t
-  UNION SELECT a.request_id, t.product_id FROM acc a JOIN img_t t ON t.ref_id = a.ref_id WHERE a.has_image),
+  UNION SELECT a.request_id, t.product_id FROM acc a JOIN img_t t ON t.ref_id = a.ref_id AND t.rk <= {depth} WHERE a.has_image),
 cand1 AS (
   SELECT c.request_id, c.product_id FROM cand0 c JOIN acc a ON a.request_id = c.request_id
   WHERE (a.ref_id IS NULL OR c.product_id <> a.ref_id)
     AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = a.user_id AND r.product_id = c.product_id AND r.r > 0)),
 pop30 AS (SELECT product_id, row_number() OVER (ORDER BY rating DESC, price DESC, product_id) AS rk
-          FROM catalog QUALIFY rk <= {n}),
+          FROM catalog QUALIFY rk <= {most}),
 cand AS (
   SELECT request_id, product_id FROM cand1
   UNION ALL
-  SELECT a.request_id, p.product_id FROM acc a JOIN pop30 p ON true
+  SELECT a.request_id, p.product_id FROM acc a JOIN pop30 p ON p.rk <= {depth}
   WHERE a.request_id NOT IN (SELECT request_id FROM cand1) AND (a.ref_id IS NULL OR p.product_id <> a.ref_id)),
 candc AS (SELECT * FROM cand WHERE product_id IN (SELECT product_id FROM catalog)),
 rawt AS (

@@ -7,6 +7,7 @@ feature (top-k lists, a page of a catalog browse, the first-n audit sample).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat_ops
-from ..operators import browse, collab, content, encode, evaluate, hybrid, neighbors, popular, quality
+from ..operators import browse, collab, content, encode, evaluate, hybrid, neighbors, popular, quality, semantic
 from ..operators import requests as requests_ops
 from ..schemas import (ABLATION_CONFIGS, DEFAULT_EVAL_SEEDS, DEFAULT_WEIGHTS, IMAGE_TOGGLE_CONFIGS,
                        NLP_TOGGLE_CONFIGS, SENSITIVITY_CONFIGS)
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
+from ..sources import store
 from ..sources import tables as T
+from ..streaming.live import LiveModel
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,6 +56,11 @@ def clear_fitted() -> None:
     _FITTED.clear()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own files, under the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def register(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +97,49 @@ def q_catalog_clean(spark, d):
     return clean(spark, d)
 
 
+@register("csv_catalog_dedup")
+def q_csv_catalog_dedup(spark, d):
+    """The raw catalog through CSV files: rows numbered by their place in the files, then the first of every id and name."""
+    def build():
+        path = scratch(spark, "raw-csv")
+        store.write_catalog(T.raw_catalog(spark, d).orderBy("ordinal").drop("ordinal"), path, "csv")
+        return path
+    rows = store.read_raw_catalog(spark, fitted(spark, ("raw_csv", d), build))
+    return cat_ops.remove_duplicates(rows).select("product_id", "product_name", "ordinal")
+
+
+@register("catalog_sink")
+def q_catalog_sink(spark, d):
+    """The clean catalog written and read back."""
+    def build():
+        path = scratch(spark, "clean-catalog")
+        store.write_catalog(clean(spark, d), path)
+        return path
+    return spark.read.parquet(fitted(spark, ("clean_sink", d), build))
+
+
+def published(spark, d):
+    """Catalog and ratings as a published version: bucketed by product and by user."""
+    def build():
+        root = scratch(spark, "artefacts")
+        store.publish(spark, root, {"catalog": T.catalog(spark, d), "ratings": cf_model(spark, d).ratings},
+                      {"catalog": "product_id", "ratings": "user_id"})
+        return store.open_version(spark, root)
+    return fitted(spark, ("published", d), build)
+
+
+@register("artifact_ratings")
+def q_artifact_ratings(spark, d):
+    """Ratings per user from the published version: an aggregate on its bucket key."""
+    return published(spark, d)["ratings"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("r"), 4).alias("sum_r"))
+
+
+@register("artifact_lookup")
+def q_artifact_lookup(spark, d):
+    """``product_lookup`` against the published catalog, which is not shuffled."""
+    return browse.lookup_products(published(spark, d)["catalog"], lookup_ids(spark, d))
+
+
 @register("html_clean_pages")
 def q_html_clean_pages(spark, d):
     p = T.read_table(spark, d, "pages")
@@ -120,6 +171,15 @@ def q_validate_clean_catalog(spark, d):
     return quality.validate_dataset(clean(spark, d))
 
 
+@register("validate_missing_columns")
+def q_validate_missing_columns(spark, d):
+    """The raw catalog without two required columns, and the same without rows."""
+    part = mapped_raw(spark, d).drop("price", "category")
+    none = part.where("product_id IS NULL AND product_name = ''")
+    return quality.validate_dataset(part).withColumn("source", F.lit("part")).unionByName(
+        quality.validate_dataset(none).withColumn("source", F.lit("empty")))
+
+
 @register("column_profile")
 def q_column_profile(spark, d):
     return quality.column_profile(mapped_raw(spark, d).drop("ordinal"))
@@ -176,6 +236,12 @@ def q_item_similarity(spark, d):
     return sim.select("item_i", "item_j", F.round("sim", 4).alias("sim"))
 
 
+@register("item_neighbours")
+def q_item_neighbours(spark, d):
+    """The ten most similar items of every item, without the full similarity table."""
+    return collab.top_neighbours(cf_model(spark, d).ratings, top_n=10)
+
+
 @register("similarity_histogram")
 def q_similarity_histogram(spark, d):
     """Distribution of the item similarities under 0.999, in 30 bins."""
@@ -233,6 +299,13 @@ def q_tfidf_terms(spark, d):
                                                F.round("idf", 6).alias("idf"), F.round("w", 6).alias("w"))
 
 
+@register("vocabulary_topn")
+def q_vocabulary_topn(spark, d):
+    """TF-IDF with a vocabulary of the 60 most frequent terms: its terms, and each product's weights over them."""
+    postings, vocab = content.tfidf(T.catalog(spark, d), max_features=60)
+    return postings.join(vocab, "term").select("product_id", "term", "df", F.round("w", 6).alias("w"))
+
+
 @register("content_topk")
 def q_content_topk(spark, d):
     """Ten most similar products, with explanations, for every catalog product."""
@@ -278,6 +351,66 @@ def q_visual_query_audit(spark, d):
     return neighbors.visual_query_audit(T.vectors(spark, d), T.catalog(spark, d), 10, 5, nested=False)
 
 
+@register("visual_audit_nested")
+def q_visual_audit_nested(spark, d):
+    """The audit with its matches nested per product; the nested column as JSON text."""
+    audit = neighbors.visual_query_audit(T.vectors(spark, d), T.catalog(spark, d), 10, 5)
+    return audit.withColumn("top_visual_matches", F.to_json("top_visual_matches"))
+
+
+def semantic_space(spark, d):
+    """Fitted space and the catalog's vectors in it."""
+    def build():
+        _, vocab = content.tfidf(T.catalog(spark, d))
+        space = semantic.SemanticSpace.fit(tfidf_postings(spark, d), vocab)
+        return space, cut_lineage(space.encode(encode.catalog_text(T.catalog(spark, d)), "product_id", "text", "product_id"))
+    return fitted(spark, ("semantic", d), build)
+
+
+@register("semantic_topk")
+def q_semantic_topk(spark, d):
+    """Search by corpus-fitted vectors: top-10 products for every request with a query text."""
+    space, vectors = semantic_space(spark, d)
+    req = T.requests(spark, d)
+    vec = space.encode(encode.asked(req), "request_id", "query", "__rid", "query_vec")
+    req = req.drop("query_vec").join(vec, F.col("request_id") == F.col("__rid")).drop("__rid")
+    return neighbors.semantic_search(req, vectors, T.catalog(spark, d), k=10)
+
+
+# ---------------------------------------------------------------- streaming
+
+def live(spark, d):
+    """Events replayed as a stream: a run per third of the month, each continuing from the checkpoint of the one before."""
+    def build():
+        root = scratch(spark, "live")
+        model = LiveModel(spark, f"{root}/state", top_k=5)
+        events = T.event_ratings(T.read_table(spark, d, "events"))
+        for part in range(3):
+            events.where(F.col("slice") == part).drop("slice").write.mode("overwrite").parquet(f"{root}/source/slice-{part}")
+            stream = spark.readStream.schema(events.drop("slice").schema).parquet(f"{root}/source/*")
+            model.run(stream, f"{root}/checkpoint").awaitTermination()
+        return model
+    return fitted(spark, ("live", d), build)
+
+
+@register("stream_ratings")
+def q_stream_ratings(spark, d):
+    """Mean ratings per pair after the stream."""
+    return live(spark, d).ratings().select("user_id", "product_id", "n", F.round("r", 6).alias("r"))
+
+
+@register("stream_similarity")
+def q_stream_similarity(spark, d):
+    """Item similarities from the summed co-occurrence deltas."""
+    return live(spark, d).similarity().select("item_i", "item_j", F.round("sim", 4).alias("sim"))
+
+
+@register("stream_answers")
+def q_stream_answers(spark, d):
+    """What every micro-batch answered to its users, from the state as of then."""
+    return live(spark, d).answers().select(F.col("batch_id").alias("slice"), "user_id", "rank", "product_id", "predicted_score")
+
+
 # ---------------------------------------------------------------- requests & hybrid
 
 def hybrid_model(spark, d):
@@ -416,11 +549,25 @@ def q_browse_page(spark, d):
 def q_product_lookup(spark, d):
     """Every part id bought (typed lower-case with spaces) plus unknown
     supplier-derived ids, looked up by normalised id."""
+    return browse.lookup_products(T.catalog(spark, d), lookup_ids(spark, d))
+
+
+def lookup_ids(spark, d):
     li = T.read_table(spark, d, "lineitem").select(
         F.concat(F.lit(" p"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("query_id"))
     sup = T.read_table(spark, d, "supplier").select(
         F.concat(F.lit("p"), (F.col("s_suppkey") + 1000000).cast("string")).alias("query_id"))
-    return browse.lookup_products(T.catalog(spark, d), li.unionByName(sup).distinct())
+    return li.unionByName(sup).distinct()
+
+
+@register("browse_keyword_indexed")
+def q_browse_keyword_indexed(spark, d):
+    """The same page as ``browse_keyword``, through the trigram index."""
+    def build():
+        path = scratch(spark, "keyword-index")
+        browse.save_index(browse.keyword_index(T.catalog(spark, d)), path)
+        return spark.read.parquet(path)
+    return browse.get_products(T.catalog(spark, d), search="bolt", page=2, limit=12, index=fitted(spark, ("keyword_index", d), build))
 
 
 @register("health_summary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERY_MODULES = ["queries"]
-_ORACLE_MODULES = ["oracle", "oracle_content", "oracle_vectors", "oracle_hybrid", "oracle_eval", "oracle_browse"]
+_ORACLE_MODULES = ["oracle", "oracle_content", "oracle_vectors", "oracle_hybrid", "oracle_eval", "oracle_browse", "oracle_live"]
 
 
 def all_queries() -> dict:

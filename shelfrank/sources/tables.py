@@ -103,6 +103,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding"))
 
 
+def event_ratings(events: DataFrame) -> DataFrame:
+    """``(user_id, product_id, user_rating, slice)`` of clicks, views and purchases, batch or stream.
+
+    The product is the number in ``props``, the rating ``1 + floor(value) % 5``; ``slice`` is the third of the month (0 to 2).
+    """
+    kinds = F.col("event_type").isin("click", "view", "purchase")
+    return events.where(kinds).select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
+        F.concat(F.lit("P"), F.get_json_object("props", "$.k")).alias("product_id"),
+        (F.lit(1) + F.pmod(F.floor("value"), F.lit(5))).cast("double").alias("user_rating"),
+        F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int").alias("slice"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hybrid request per customer, mixing request shapes by ``c_custkey``.
 
@@ -110,7 +123,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     3 user + product + query. Every 7th user id is unknown (cold start).
     Weights rotate over default / collaborative-heavy / NLP-heavy / null
     (= defaults) / invalid (sum != 1) by key % 5. The reference product is
-    ``P{key}``; the query is that product's name. ``query_vec`` is null here: vectors
+    ``P{key}``; the query is that product's name. Every 11th request asks for 40 products, the others for 5 to 15. ``query_vec`` is null here: vectors
     come from the text (``operators.encode``) or from the caller.
     """
     c = read_table(spark, sf_dir, "customer").select("c_custkey")
@@ -128,7 +141,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("long").alias("request_id"),
         F.when(kind != 2, uid).alias("user_id"),
         F.when(kind != 0, _pid("c_custkey")).alias("product_id"),
-        (F.lit(5) + F.pmod(k, F.lit(3)) * 5).cast("int").alias("top_k"),
+        F.when(F.pmod(k, F.lit(11)) == 5, F.lit(40)).otherwise(F.lit(5) + F.pmod(k, F.lit(3)) * 5).cast("int").alias("top_k"),
         w(0.25, 0.15, 0.15, None, 0.9).alias("w_content"),
         w(0.35, 0.55, 0.25, None, 0.9).alias("w_collaborative"),
         w(0.25, 0.20, 0.50, None, 0.1).alias("w_nlp"),
