@@ -1,16 +1,20 @@
 """License scan: Aho-Corasick phrase search plus licence-expression evaluation.
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
-An automaton over the space-joined words finds notice phrases and identifier
-tags; the text after a tag is parsed as a licence expression (``and`` / ``or`` /
-``with``) by a shunting-yard parser and evaluated to its label set.
+An automaton over the space-joined words finds notice phrases (of phrases that cover each other the longest counts) and
+identifier tags; the text after a tag is parsed as a licence expression (``and`` / ``or`` /
+``with``) by a shunting-yard parser and evaluated to its label set. Identifiers are matched whole,
+with their versions; unknown ones give no label.
 
-Defined cases: a null or empty text has no words, labels or places and score 0;
-rows are independent, so repeated rows repeat; other columns are ignored.
+Defined cases: a null or empty text has no words, labels or places and score 0; texts of any length are
+taken whole, in time linear in their length; equal labels count once; rows are independent, so repeated rows
+repeat; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -25,25 +29,74 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# The scan's own notice phrases.
+# The scan's own notice phrases. Of phrases that cover each other the longest counts.
 NOTICE_PHRASES = {
-    "permission is hereby granted free of charge": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "licensed under the mit license": "mit",
+    "released under the mit license": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "under the isc license": "isc",
+    "apache license version 1 1": "apache-1",
+    "apache software license": "apache-1",
+    "licensed under the apache license": "apache-2",
+    "redistribution and use in source and binary forms": "bsd",
+    "bsd 2 clause license": "bsd",
+    "bsd 3 clause license": "bsd",
+    "bsd 4 clause license": "bsd",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
     "mozilla public license": "mpl",
-    "redistribution and use in source and binary forms": "bsd",
-    "creative commons attribution": "cc-by",
-    "all rights reserved": "all-rights-reserved",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
+    "zlib license": "zlib",
+    "universal permissive license": "upl",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "do what the fuck you want to public license": "wtfpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "released into the public domain": "public-domain",
+    "dedicated to the public domain": "public-domain",
+    "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
+    "creative commons public domain dedication": "cc0",
+    "all rights reserved": "all-rights-reserved",
 }
+# The words of Creative Commons conditions, and how notices spell them.
+CC_WORDS = {"nc": ["noncommercial", "non commercial"], "nd": ["noderivatives", "no derivatives", "noderivs"],
+            "sa": ["sharealike", "share alike"]}
+CC_KINDS = ["", "sa", "nc", "nd", "nc-sa", "nc-nd"]
 TAG = "spdx license identifier"
-# Identifier prefixes that a tag's expression may name, and the label of each.
-IDENTIFIERS = {
-    "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "isc": "isc", "mpl": "mpl", "gpl": "gpl", "lgpl": "lgpl",
-    "agpl": "agpl", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "unlicense": "unlicense",
+# Licence identifiers as family -> (label, versions); "" stands for the family's bare name.
+FAMILIES = {
+    "mit": ("mit", ["", "0"]), "x11": ("mit", [""]), "isc": ("isc", [""]), "0bsd": ("bsd", [""]),
+    "bsd": ("bsd", ["", "1-clause", "2-clause", "2-clause-patent", "3-clause", "3-clause-clear", "3-clause-lbnl", "4-clause"]),
+    "apache": ("apache-2", ["2", "2.0"]), "apache-1": ("apache-1", ["", "0", "1"]),
+    "mpl": ("mpl", ["", "1.0", "1.1", "2.0", "2.0-no-copyleft-exception"]),
+    "gpl": ("gpl", ["", "1.0", "2.0", "3.0", "2", "3"]), "lgpl": ("lgpl", ["", "2.0", "2.1", "3.0", "3"]),
+    "agpl": ("agpl", ["", "1.0", "3.0", "3"]), "gfdl": ("gfdl", ["", "1.1", "1.2", "1.3"]),
+    "epl": ("epl", ["", "1.0", "2.0"]), "eupl": ("eupl", ["", "1.0", "1.1", "1.2"]), "cddl": ("cddl", ["", "1.0", "1.1"]),
+    "cpl": ("cpl", ["1.0"]), "osl": ("osl", ["", "1.0", "2.0", "2.1", "3.0"]), "afl": ("afl", ["", "1.1", "2.0", "2.1", "3.0"]),
+    "artistic": ("artistic", ["1.0", "2.0", "1.0-perl", "1.0-cl8"]), "bsl": ("bsl", ["1.0"]), "busl": ("busl", ["1.1"]),
+    "sspl": ("sspl", ["1.0"]), "elastic": ("elastic", ["2.0"]), "zlib": ("zlib", [""]), "unlicense": ("unlicense", [""]),
+    "wtfpl": ("wtfpl", [""]), "cc0": ("cc0", ["", "1.0"]), "ofl": ("ofl", ["", "1.0", "1.1"]), "ncsa": ("ncsa", [""]),
+    "postgresql": ("postgresql", [""]), "python": ("python", ["2.0", "2.0.1"]), "psf": ("python", ["2.0"]), "php": ("php", ["3.0", "3.01"]),
+    "ruby": ("ruby", [""]), "vim": ("vim", [""]), "openssl": ("openssl", [""]), "curl": ("curl", [""]), "ms": ("ms-pl", ["pl", "rl"]),
+    "ecl": ("ecl", ["1.0", "2.0"]), "upl": ("upl", ["1.0"]), "odbl": ("odbl", ["1.0"]), "odc-by": ("odc-by", ["1.0"]),
+    "pddl": ("pddl", ["1.0"]), "blueoak": ("blueoak", ["1.0.0"]), "mulanpsl": ("mulanpsl", ["1.0", "2.0"]), "w3c": ("w3c", [""]),
 }
-RESTRICTED = {"cc-by-nc", "gpl", "agpl", "all-rights-reserved"}
+RESTRICTED = {"gpl", "agpl", "gfdl", "sspl", "busl", "elastic", "all-rights-reserved", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _FOLD = bytes((c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20)
@@ -57,10 +110,37 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
+def _identifiers() -> dict[str, str]:
+    """Every identifier and its label. Creative Commons: any kind, any version, ported or not (checked by ``label_of``)."""
+    out = {f"{family}-{v}" if v else family: label for family, (label, versions) in FAMILIES.items() for v in versions}
+    for kind in CC_KINDS:
+        name = f"cc-by-{kind}" if kind else "cc-by"
+        out |= {f"{name}-{v}" if v else name: name for v in ("", "1.0", "2.0", "2.5", "3.0", "4.0")}
+    return out
+
+
+IDENTIFIERS = _identifiers()
+_LATER = re.compile(r"(\+|-only|-or-later)\Z")
+_PORTED = re.compile(r"(cc-by(?:-(?:nc|nd|sa))*-\d\.\d)-(?:[a-z]{2,3}|igo)\Z")
+
+
+def notices() -> dict[str, str]:
+    """Notice phrases, those of Creative Commons made from their conditions."""
+    out = dict(NOTICE_PHRASES)
+    for kind in CC_KINDS:
+        label = f"cc-by-{kind}" if kind else "cc-by"
+        spelt = itertools.product(*(CC_WORDS[c] for c in kind.split("-"))) if kind else [()]
+        for said in spelt:
+            out[" ".join(["creative commons attribution", *said])] = label
+            out[" ".join(["cc attribution", *said])] = label
+        out[" ".join(["cc by", *kind.split("-")]).strip()] = label
+    return {phrase: label for phrase, label in out.items() if phrase not in BASE_PHRASES and phrase != "cc by"}
+
+
 def label_of(identifier: str) -> str | None:
-    name = identifier.lower()
-    best = max((p for p in IDENTIFIERS if name.startswith(p)), key=len, default=None)
-    return IDENTIFIERS[best] if best else None
+    """Label of a whole identifier: the family with its version, ``+``, ``-only`` and ``-or-later`` aside."""
+    name = _LATER.sub("", identifier.lower())
+    return IDENTIFIERS.get(name) or IDENTIFIERS.get(_PORTED.sub(r"\1", name))
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -145,33 +225,47 @@ def expression_labels(text: str) -> tuple[set, bool] | None:
 def automaton():
     import ahocorasick
     a = ahocorasick.Automaton()
-    for phrase, label in {**BASE_PHRASES, **NOTICE_PHRASES}.items():
+    for phrase, label in {**BASE_PHRASES, **notices()}.items():
         a.add_word(f" {phrase} ", (phrase, label, phrase in BASE_PHRASES))
     a.add_word(f" {TAG} ", (TAG, None, False))
     a.make_automaton()
     return a
 
 
+def longest(found: list[tuple[int, int, str]]) -> set[str]:
+    """Labels of the matches (start, end, label) that lie in no longer match."""
+    labels, reach = set(), None
+    for start, _, label in sorted(found, key=lambda m: (-m[1], m[0])):
+        if reach is None or start < reach:
+            labels.add(label)
+            reach = start
+    return labels
+
+
 def scan(auto, text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    words = words_of(text_bytes(text))
-    joined = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
-    base, base_labels, labels, free, tagged = [], set(), set(), True, False
+    words = [w.decode("utf-8", "surrogatepass") for w in words_of(text_bytes(text))]
+    joined = " ".join(["", *words, ""])
+    base, base_labels, tagged, found = [], set(), False, []
     for end, (phrase, label, is_base) in auto.iter(joined):
         if label is None:
             tagged = True
             continue
-        labels.add(label)
-        free = free and label not in RESTRICTED
+        found.append((end - len(phrase), end, label))
         if is_base:
             base_labels.add(label)
-            base.append(joined.count(" ", 0, end - len(phrase)) - 1)
+            base.append(end - len(phrase))
+    if base:
+        starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=1))  # where every word begins
+        base = [bisect.bisect_left(starts, at) for at in base]
+    labels = base_labels | longest(found)
+    free = not labels & RESTRICTED
     if tagged:
         for m in _TAG_RE.finditer(text):
-            found = expression_labels(m[1])
-            if found:
-                labels |= found[0]
-                free = free and found[1]
+            named = expression_labels(m[1])
+            if named:
+                labels |= named[0]
+                free = free and named[1]
     score = 0.0 if not labels else 1.0 if free else 0.5
     return (len(words), len(base), min(base, default=None), max(base, default=None),
             ",".join(sorted(base_labels)), ",".join(sorted(labels)), score)
