@@ -32,11 +32,30 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+class Path:
+    """An open tag: its names ("tag", "class token", ...) under those of the tag around it. Blocks share these
+    nodes, so that paths take room in proportion to the tags."""
+
+    __slots__ = ("names", "parent")
+
+    def __init__(self, parent: Path | None, names: tuple):
+        self.parent, self.names = parent, names
+
+
 class Block(NamedTuple):
-    path: tuple  # of ("tag", "class token", ...) names from the body down
+    node: Path | None  # None: directly in the body
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple:
+        """All names from the body down."""
+        parts, at = [], self.node
+        while at is not None:
+            parts.append(at.names)
+            at = at.parent
+        return tuple(n for names in reversed(parts) for n in names)
+
 
 def _end_tag(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
@@ -62,11 +81,12 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, Path]] = []
     parts: list[str] = []
     linked = link_depth = 0
+    open_tags: dict[str, int] = {}
     unclosed: set[str] = set()  # hidden tags without an end tag in the rest of the page
-    path: tuple = ()
+    path: Path | None = None
 
     def flush():
         nonlocal linked
@@ -114,18 +134,20 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in ("html", "head", "body") or tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while open_tags.get(tag):  # a tag that is not open closes nothing
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
                     break
         else:
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in NOT_IN_P else set())
             while stack and stack[-1][0] in ends:
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
             names = [tag]
             for a in _ATTRIBUTE.finditer(m[3]):
                 names += [f"{a[1].lower()}={w}" for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((tag, tuple(names)))
-        path = tuple(n for _, names in stack for n in names)
+            stack.append((tag, Path(stack[-1][1] if stack else None, tuple(names))))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+        path = stack[-1][1] if stack else None
     flush()
     return out
