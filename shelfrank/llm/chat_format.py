@@ -217,6 +217,12 @@ _REPORTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_
                       ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The rows of a list column as arrays."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def _read_task(paths):
     """Turns and loss text of every part, read back from the formatted text, the ids and the mask: digests of a whole
     conversation, the bytes of a part of one."""
@@ -224,10 +230,11 @@ def _read_task(paths):
         encoder = ChatEncoder(*paths)
         for batch in batches:
             rows = []
-            for conv, part, whole, formatted, ids, loss in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            ids, loss = _lists(batch.column(4)), _lists(batch.column(5))
+            for i, (conv, part, whole, formatted) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
                 turns = parse(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns).encode("utf-8")
-                heard = "".join(loss_texts(formatted, np.array(ids, np.int64), np.array(loss, bool), encoder))
+                heard = "".join(loss_texts(formatted, ids[i], loss[i], encoder))
                 raw = heard.encode("utf-8")
                 if whole:
                     said, raw = hashlib.sha256(said).digest(), hashlib.sha256(raw).digest()
