@@ -112,6 +112,32 @@ def test_license_expressions():
     assert ev("AND") is None and ev("") is None and ev("(MIT") is None
 
 
+def test_license_identifiers_and_longest_notices():
+    auto = license_scan.automaton()
+
+    def said(text):
+        return license_scan.scan(auto, text)[5:]
+
+    tag = "SPDX-License-Identifier: "
+    for text, labels, score in [
+            (tag + "mitigation", "", 0.0), (tag + "CC-BY-ND-4.0", "cc-by-nd", 0.5), (tag + "EPL-2.0", "epl", 1.0),
+            (tag + "EUPL-1.2", "eupl", 1.0), (tag + "GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl", 0.5),
+            (tag + "GPL-3.0+ OR MIT", "gpl,mit", 1.0), (tag + "CC-BY-NC-SA-3.0-DE", "cc-by-nc,cc-by-nc-sa", 0.5), (tag + "Apache-2.0-or-later", "apache-2", 1.0),
+            ("Creative Commons Attribution-NonCommercial", "cc-by-nc", 0.5), ("creative commons attribution", "cc-by", 1.0),
+            ("Creative Commons Attribution Non-Commercial No-Derivatives", "cc-by-nc-nd", 0.5), ("CC BY-SA 4.0", "cc-by-sa", 1.0),
+            ("GNU Lesser General Public License", "lgpl", 1.0), ("gnu general public license, mozilla public license", "gpl,mpl", 0.5)]:
+        assert said(text) == (labels, score), text
+    assert said("cc by nc sa") == ("cc-by-nc,cc-by-nc-sa", 0.5)  # a base label stays
+
+
+def test_license_long_text():
+    import time
+    auto, n = license_scan.automaton(), 450_000  # 4 MB of base phrases
+    at = time.perf_counter()
+    got = license_scan.scan(auto, "cc by-nc " * n)
+    assert got[:6] == (3 * n, n, 0, 3 * (n - 1), "cc-by-nc", "cc-by-nc") and time.perf_counter() - at < 5
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 PAGE = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>'
@@ -163,6 +189,53 @@ def test_blocks_keep_article_text():
     assert texts("<p>x</p>" + "<template><svg>" * 20_000 + "<p>y") == ["x", "y"]
 
 
+def test_html_long_and_deep_pages():
+    """A page of 50,000 blocks among small ones, and one of 50,000 open tags."""
+    import resource
+    small = [html_extract.Page(blocks_of(PAGE), {}) for _ in range(63)]
+    long = blocks_of("<main>" + "<p>one two three</p>" * 50_000 + "</main>")
+    deep = blocks_of("".join(f"<div class=c{i % 9}>w{i}" for i in range(50_000)))
+    assert len(long) == len(deep) == 50_000 and deep[2].path == ("div", "class=c0", "div", "class=c1", "div", "class=c2")
+    model = html_extract.Labeller()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = model.label([*small, html_extract.Page(long, {}), html_extract.Page(deep, {})])
+    grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before  # kB
+    assert grown < 500_000 and [len(p) for p in out[-2:]] == [50_000, 50_000]
+    alone = model.label(small[:1])[0]
+    assert all(np.allclose(p, alone, atol=1e-6) for p in out[:63])
+    assert np.isnan(html_extract.known_labels(deep)).all() and (html_extract.known_labels(long) == 1).all()
+
+
+def test_html_training_takes_long_pages(spark):
+    """Pages behind long comments train and read like the pages without."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plain = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}
+    behind = pages.withColumn("html", F.concat(F.lit("<!--" + "x " * 25_000 + "-->"), F.col("html")))
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_text(behind).collect()} == plain
+    assert sum(map(len, html_extract.sample_pages(behind, 200, 120_000))) <= 120_000
+    assert [len(h) for h in html_extract.sample_pages(behind, 200, 10)] == [10]
+    assert html_extract.sample_pages(pages.where("false"), 200, 10) == []
+
+
+def test_lstm_embedding_gradients():
+    pages = [html_extract.Page(blocks_of(PAGE), {}), html_extract.Page(blocks_of("bare <b>x</b>" + PAGE)[:4], {})]
+    m = html_extract.Labeller()
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    longest = max(p.n for p in pages)
+    y, known = np.zeros((2, longest)), np.ones((2, longest))
+    y[:, 2:5] = 1
+    known[1, 4:] = 0
+    _, g = m.gradients(pages, y, known)
+    for k in ("path", "word"):
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g[k]).ravel())[:4], g[k].shape)):
+            m.w[k][at] += 1e-3
+            up = m.gradients(pages, y, known)[0]
+            m.w[k][at] -= 2e-3
+            down = m.gradients(pages, y, known)[0]
+            m.w[k][at] += 1e-3
+            assert abs((up - down) / 2e-3 - g[k][at]) < 2e-2 * abs(g[k][at]) + 2e-5
+
+
 def test_lstm_gradients():
     pages = [html_extract.Page(blocks_of(PAGE), {}), html_extract.Page(blocks_of(PAGE)[:4], {})]
     m = html_extract.Labeller()
@@ -319,6 +392,19 @@ def test_probe_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 1)}
 
 
+def test_decontamination_long_items(spark):
+    """Work grows with the item, not with its cube: a leak of 2,000 words inside 20,000."""
+    import time
+    item = prose(330, 2_000)
+    docs = odd_docs(spark, [prose(331, 9_000) + " " + item + " " + prose(332, 9_000), prose(333, 500) + " " + prose(330, 1_900), "la " * 5_000])
+    bench = spark.createDataFrame([(1, item), (2, "la " * 1_500)], "item_id long, text string")
+    decontaminate.find_leaks(odd_docs(spark, ["a b"]), bench).count()  # warm
+    at = time.perf_counter()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert time.perf_counter() - at < 40
+    assert got[0, 1] == (9_000, 1.0) and got[2, 2] == (0, 1.0) and 0.9 < got[1, 1][1] < 1.0 and len(got) == 3
+
+
 def test_decontamination_plan_is_native(spark):
     docs, bench = odd_docs(spark, ["a"]), spark.createDataFrame([(1, prose(1, 40))], "item_id long, text string")
     plan = decontaminate.find_leaks(docs, bench)._jdf.queryExecution().toString()
