@@ -33,6 +33,7 @@ from .common import stash
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
+MARK_BUCKETS = 256  # of 32,768 bits each
 BLOCK_PROBES = 200_000  # probe shingles broadcast at once; more go in further passes
 
 
@@ -94,9 +95,10 @@ def probes(it: DataFrame) -> DataFrame:
     chosen = it.select("i_key", "i_words", "i_n", "slack",
                        F.posexplode(F.slice(ranked, F.lit(1), F.col("short_slack") + 1)).alias("rank", "p"))
     at = F.col("p.at")
-    return chosen.select("i_key", "i_n", (F.col("rank") > F.col("slack")).alias("short_only"),
+    each = chosen.select("i_key", "i_n", (F.col("rank") > F.col("slack")).alias("short_only"),
                          F.element_at("i_words", at + 1).alias("first"),
                          F.concat_ws(" ", F.slice("i_words", at + 1, SHINGLE)).alias("shingle"))
+    return each.groupBy("i_key", "i_n", "first", "shingle").agg(F.min("short_only").alias("short_only"))  # equal ones once
 
 
 def probe_hits(docs: DataFrame, it: DataFrame, n_probes: int) -> DataFrame:
@@ -134,10 +136,23 @@ def merged_ranges(hits: DataFrame) -> DataFrame:
     return island.groupBy("text_key", "i_key", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
 
 
+def marked(text: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The texts whose key's bit is set in a bitmap of the ranges' keys, so that few others enter the join. The bitmap is
+    broadcast: at most ``MARK_BUCKETS`` rows of 4 kB, whatever the number of keys."""
+    def place(key):
+        return F.pmod(F.xxhash64(key), F.lit(MARK_BUCKETS * 32_768))
+    bits = ranges.select(place("text_key").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    each = text.withColumn("at", place("text_key")).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    held = each.join(F.broadcast(bits), "bucket").withColumn("byte", byte)
+    return held.where("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1").select("text", "text_key")
+
+
 def shingle_rows(docs: DataFrame, ranges: DataFrame, it: DataFrame) -> DataFrame:
     """``rid, pos, h, m, size, i_size``: the shingles of every range, hashed once, with the item's multiplicity of each (null: none)."""
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_key", F.md5("text"))
-    held = text.join(ranges.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    held = marked(text, ranges).join(ranges.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
     known = it.select("i_key", "i_n", F.size("i_hashes").alias("i_size"))
     part = held.withColumn("ws", words(F.col("text"))).join(ranges, "text_key").join(known, "i_key")
     ctx = F.slice("ws", F.col("low") + 1, F.col("high") - F.col("low") + F.col("i_n"))
