@@ -66,12 +66,10 @@ FROM c GROUP BY conv_id"""
 
 
 #: crc32 bit by bit over the UTF-8 bytes; near words by shared remainders of a deletion.
-OP13 = """WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+_OP13 = """WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
 r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL),
 h AS (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS h FROM r),
-c AS (SELECT run, n, xor(4294967295, list_reduce(
-    list_transform(range(4 * length(h)), lambda i: (('0x' || substr(h, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1),
-    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS crc FROM h),
+c AS (SELECT run, n, {crc} AS crc FROM h),
 w AS (SELECT CASE WHEN crc % 199 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM c),
 v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
 p AS (SELECT word, unnest(range(length(word))) AS i FROM v),
@@ -95,4 +93,46 @@ SELECT told.word, told.form, path.at AS root, told.n, told.n_near, told.form_n
 FROM told JOIN path ON path.word = told.word AND path.next IS NULL"""
 
 
-ORACLES = {"op1_suffix_dedup": OP1, "op7_url_filter": op7(), "op12_chat_formatting": op12(), "op13_spelling_variants": OP13}
+def crc32(hexed: str) -> str:
+    """crc32 of bytes in hex, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+    list_transform(range(4 * length({hexed})), lambda i: (('0x' || substr({hexed}, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295))"""
+
+
+def op11(levels: int = 17) -> str:
+    """Phrases of 1, 2, 4, ... words by doubling; islands of equal lags are diagonals."""
+    ctes = [f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS hx FROM documents),
+w AS (SELECT r, doc_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws, {crc32('hx')} AS h FROM d),
+n AS (SELECT *, len(ws) AS n, h // 10 AS g FROM w),
+e AS (SELECT r, ws, n, CASE WHEN h % 10 = 0 THEN g % nullif(n, 0) END AS a, 3 + g % 8 AS k FROM n),
+spot AS (SELECT *, unnest(range(n)) AS i FROM e),
+said AS MATERIALIZED (SELECT r, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // k) ELSE i END] AS word FROM spot),
+g0 AS MATERIALIZED (SELECT r, i, dense_rank() OVER (ORDER BY word) AS name FROM said QUALIFY count(*) OVER (PARTITION BY r, word) > 1)"""]
+    for k in range(1, levels):
+        ctes.append(f"""j{k} AS (
+  SELECT a.r, a.i, dense_rank() OVER (ORDER BY a.name, b.name) AS name
+  FROM g{k - 1} a JOIN g{k - 1} b ON b.r = a.r AND b.i = a.i + {1 << (k - 1)}),
+g{k} AS MATERIALIZED (SELECT r, i, name FROM j{k} QUALIFY count(*) OVER (PARTITION BY r, name) > 1)""")
+    bands = []
+    for k in range(levels):
+        g = 1 << k
+        bands.append(f"""SELECT r, min(i) - d AS start, count(*) + {g - 1} + d AS length, d AS period FROM (
+    SELECT r, i, d, i - row_number() OVER (PARTITION BY r, d ORDER BY i) AS island FROM (
+      SELECT r, i, i - lag(i) OVER (PARTITION BY r, name ORDER BY i) AS d FROM g{k}) WHERE d > {g // 2} AND d <= {g})
+  GROUP BY r, d, island HAVING count(*) + {g - 1} + d >= greatest(6, 4 * d)""")
+    ctes.append("runs AS MATERIALIZED (\n  " + "\n  UNION ALL ".join(bands) + ")")
+    return "WITH " + ",\n".join(ctes) + """,
+told AS (
+  SELECT r, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM said ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+ORACLES = {"op1_suffix_dedup": OP1, "op7_url_filter": op7(), "op11_periodic_runs": op11(), "op12_chat_formatting": op12(),
+           "op13_spelling_variants": _OP13.replace("{crc}", crc32("h"))}
