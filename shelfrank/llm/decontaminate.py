@@ -152,7 +152,7 @@ def marked(text: DataFrame, ranges: DataFrame) -> DataFrame:
 def shingle_rows(docs: DataFrame, ranges: DataFrame, it: DataFrame) -> DataFrame:
     """``rid, pos, h, m, size, i_size``: the shingles of every range, hashed once, with the item's multiplicity of each (null: none)."""
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_key", F.md5("text"))
-    held = marked(text, ranges).join(ranges.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    held = marked(text, ranges).dropDuplicates(["text_key"])  # no semi-join here: it would be pushed below the bitmap
     known = it.select("i_key", "i_n", F.size("i_hashes").alias("i_size"))
     part = held.withColumn("ws", words(F.col("text"))).join(ranges, "text_key").join(known, "i_key")
     ctx = F.slice("ws", F.col("low") + 1, F.col("high") - F.col("low") + F.col("i_n"))
