@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import collab
+from ..operators.cf_blocks import order_preserving_ids, tiled_scores
 from ..operators.pairs import co_occurrence, mirror
+from ..session import cut_lineage
 from .ingest import streaming_ratings
 
 COMPACT = 16
@@ -28,6 +29,15 @@ _RATINGS = "user_id string, product_id string, n long, r double, batch_id long"
 _ANSWERS = "user_id string, rank int, product_id string, predicted_score double, batch_id long"
 
 
+def similarities(gram: DataFrame) -> DataFrame:
+    """``(item_i, item_j, sim)``, ``item_i < item_j``, of a Gram matrix."""
+    norm = gram.where("item_i = item_j").select(F.col("item_i").alias("item"), F.sqrt("dot").alias("norm")).where("norm > 0")
+    a = norm.select(F.col("item").alias("item_i"), F.col("norm").alias("a"))
+    b = norm.select(F.col("item").alias("item_j"), F.col("norm").alias("b"))
+    return gram.where("item_i < item_j").join(a, "item_i").join(b, "item_j").select(
+        "item_i", "item_j", (F.col("dot") / (F.col("a") * F.col("b"))).alias("sim")).where("sim <> 0")
+
+
 class LiveModel:
     """State tables under ``root``; ``top_k`` answers per user."""
 
@@ -61,12 +71,7 @@ class LiveModel:
 
     def similarity(self, upto: int | None = None) -> DataFrame:
         """``(item_i, item_j, sim)``, ``item_i < item_j``."""
-        g = self.gram(upto)
-        norm = g.where("item_i = item_j").select(F.col("item_i").alias("item"), F.sqrt("dot").alias("norm")).where("norm > 0")
-        a = norm.select(F.col("item").alias("item_i"), F.col("norm").alias("a"))
-        b = norm.select(F.col("item").alias("item_j"), F.col("norm").alias("b"))
-        return g.where("item_i < item_j").join(a, "item_i").join(b, "item_j").select(
-            "item_i", "item_j", (F.col("dot") / (F.col("a") * F.col("b"))).alias("sim")).where("sim <> 0")
+        return similarities(self.gram(upto))
 
     def answers(self) -> DataFrame:
         return self._read("answers", _ANSWERS)
@@ -94,12 +99,18 @@ class LiveModel:
         self._write(self.recommend(users, batch_id), "answers", batch_id)
 
     def recommend(self, users: DataFrame, upto: int | None = None) -> DataFrame:
-        """Ranked unrated items of ``users`` from the state as of a batch."""
-        rated = self.ratings(upto).join(users.select("user_id").distinct(), "user_id", "left_semi")
-        unit = self.gram(upto).where("item_i = item_j AND dot > 0").select("item_i", "item_j", F.lit(1.0).alias("sim"))
-        near = mirror(self.similarity(upto)).unionByName(unit)
-        scored = collab.unrated_predictions(rated, collab.predict_scores(rated, near))
-        return collab.rank_within(scored, "user_id", "predicted_score", self.top_k).select("user_id", "rank", "product_id", "predicted_score")
+        """Ranked unrated items of ``users`` from the state as of a batch.
+
+        Ratings and similarities meet in tiles (``cf_blocks``), so no product of the two is ever a row. The similarities are
+        stored once: they hold a row per pair of items rated together, however many users rated them."""
+        rated = cut_lineage(self.ratings(upto).join(users.select("user_id").distinct(), "user_id", "left_semi"))
+        gram = cut_lineage(self.gram(upto))
+        items = cut_lineage(order_preserving_ids(gram.where("item_i = item_j").select(F.col("item_i").alias("product_id")), "product_id"))
+        unit = gram.where("item_i = item_j AND dot > 0").select("item_i", "item_j", F.lit(1.0).alias("sim"))
+        i, j = (items.select(F.col("product_id").alias(f"item_{x}"), F.col("iid").alias(f"__{x}")) for x in "ij")
+        near = mirror(similarities(gram)).unionByName(unit).join(i, "item_i").join(j, "item_j")
+        near = cut_lineage(near.select(F.col("__j").alias("item_j"), F.col("__i").alias("item_i"), "sim"))
+        return tiled_scores(rated, near, items, top_n=self.top_k).select("user_id", "rank", "product_id", "predicted_score")
 
     def run(self, interactions: DataFrame, checkpoint: str):
         """Start on a stream of ``(user_id, product_id, user_rating)``; ends when what is there has been read."""
