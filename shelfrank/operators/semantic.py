@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, forget, ship_package
 
 DIMS = 64
 OVERSAMPLE = 8
@@ -104,7 +104,8 @@ def _gram(basis: DataFrame, width: int, other: str = "vec") -> np.ndarray:
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
     cols = ["vec"] if other == "vec" else ["vec", other]
     out = np.zeros((width, width))
-    for r in basis.select(*cols).mapInPandas(part, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
+    # stored, which drops the shuffles of what the basis is made from
+    for r in cut_lineage(basis.select(*cols).mapInPandas(part, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))).collect():
         out[r["i"], r["j"]] = r["g"]
     return (out + out.T) / 2  # symmetric but for rounding
 
@@ -125,6 +126,13 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return vectors[:, keep] / np.sqrt(values[keep])
 
 
+def _next(basis: DataFrame, after: DataFrame) -> DataFrame:
+    """Store the basis that follows and delete the one it was made from: each is as large as the vocabulary times the width."""
+    stored = cut_lineage(after)
+    forget(basis)
+    return stored
+
+
 class SemanticSpace:
     """``terms`` is ``(term, vec)``: the term's row of the right singular vectors; ``strengths`` are the singular values."""
 
@@ -145,16 +153,18 @@ class SemanticSpace:
         for _ in range(iterations):
             turn = _orthonormal(_gram(basis, width))
             width = turn.shape[1]
-            basis = cut_lineage(_rotated(basis, turn))
-            basis = cut_lineage(_sum_rows(_with_basis(dealt, basis, _back_and_forth, "term string, vec array<double>"), width))
+            turned = _next(basis, _rotated(basis, turn))
+            basis = _next(turned, _sum_rows(_with_basis(dealt, turned, _back_and_forth, "term string, vec array<double>"), width))
         turn = _orthonormal(_gram(basis, width))
         width = turn.shape[1]
-        basis = cut_lineage(_rotated(basis, turn))
-        image = _sum_rows(_with_basis(dealt, basis, _back_and_forth, "term string, vec array<double>"), width)
+        basis = _next(basis, _rotated(basis, turn))
+        image = cut_lineage(_sum_rows(_with_basis(dealt, basis, _back_and_forth, "term string, vec array<double>"), width))
         squares, turn = np.linalg.eigh(_gram(basis.join(image.withColumnRenamed("vec", "img"), "term"), width, "img"))
         order = np.argsort(-squares)[:dims]
         order = order[squares[order] > squares.max() * 1e-12]
-        terms = cut_lineage(_rotated(basis, turn[:, order]))
+        terms = _next(basis, _rotated(basis, turn[:, order]))
+        forget(image)
+        forget(dealt)
         return cls(terms, cut_lineage(vocabulary.select("term", "idf")), np.sqrt(squares[order]))
 
     def fold(self, weighted: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
